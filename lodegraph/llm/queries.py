@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, packing, quality_cnn, quality_rules, sharding
+from . import line_dedup, minhash, packing, pii_crf, quality_cnn, quality_rules, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digest(pii_crf.find(_documents(spark, sf_dir)))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
+    "op9_minhash": op9_minhash,
 }
 
 #: DuckDB's equivalents, where SQL can express the result.
