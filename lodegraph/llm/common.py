@@ -55,6 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, written down and counted, with a broadcast hint where it has at most ``max_rows`` rows (of a few numbers each)."""
+    df = settle(df, "small")
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

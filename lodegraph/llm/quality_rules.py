@@ -121,17 +121,17 @@ def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, alpha: float, de
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.06, delta: float = 0.05, max_words: int = 20, min_words: int = 10) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.06, delta: float = 0.05, max_words: int = 20, min_words: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """Counts and verdict for every row of ``docs``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``
     and ``failed_rules`` (names, an empty list for none).  ``base_failed``: fewer than
     ``min_words`` words, or more than ``max_words`` per cent of them repeated.  A null text has no
     words and fails; a null or unlabelled stratum faces the base rules alone; repeated rows
-    are judged alike.  Labels of one id that conflict count as the lower one.  Other columns of
-    ``docs`` are not read.  The cutoffs are one row for each stratum and rule.
+    are judged alike.  Labels of one id that conflict count as the lower one.  The columns
+    ``carry`` are passed on; other columns of ``docs`` are not read.  The cutoffs are one row for each stratum and rule.
     """
-    keep = ["doc_id"] if stratum == "doc_id" else ["doc_id", stratum]
+    keep = list(dict.fromkeys(["doc_id", stratum, *carry]))
     counts = C.settle(measured(docs, keep), "rule-counts")
     proven = cutoffs(counts, labels, stratum, alpha, delta)
     limits = proven.groupBy("stratum").pivot("rule", [r[0] for r in RULES]).agg(F.first("cutoff"))
@@ -141,4 +141,4 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     failed = F.filter(F.array(*[F.when(ratio(r) > F.col(f"_max_{r[0]}"), F.lit(r[0])) for r in RULES]), lambda x: x.isNotNull())
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_words * F.col("n_words"))
     df = df.withColumn("failed_rules", failed).withColumn("base_failed", base)
-    return df.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    return df.select("doc_id", *carry, *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")

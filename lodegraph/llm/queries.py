@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, minhash, packing, pii_crf, quality_cnn, quality_rules, sharding
+from . import decontamination, line_dedup, minhash, packing, pii_crf, quality_cnn, quality_rules, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digest(pii_crf.find(_documents(spark, sf_dir)))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), percent=85)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op8_decontamination": op8_decontamination,
     "op9_minhash": op9_minhash,
 }
 
