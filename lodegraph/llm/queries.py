@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, packing, pii_crf, quality_cnn, quality_rules, sharding
+from . import common, decontamination, katz, license_scan, line_dedup, minhash, packing, pii_crf, quality_cnn, quality_rules, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digest(pii_crf.find(_documents(spark, sf_dir)))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_paragraphs", "n_licence", "n_unknown", F.array_join("families", ",").alias("families"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id")
@@ -48,6 +54,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = common.id_bucket(F.col("doc_id"), 7) == 2
+    found = katz.score(docs, katz.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -55,8 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_minhash": op9_minhash,
+    "op10_katz": op10_katz,
 }
 
 #: DuckDB's equivalents, where SQL can express the result.
