@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 NO_WHITE = "[^\\x20\\x09-\\x0D]"
 
 
@@ -34,6 +36,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it again: the lineage ends there."""
     spark = df.sparkSession
@@ -61,6 +71,17 @@ def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def smallest(df: DataFrame, by: Column, rows: int, of: int, ties: tuple = ()) -> DataFrame:
+    """At most ``rows`` rows: those with the smallest hash ``by`` among the share of hashes that holds about ``4 * rows`` of ``of``.
+
+    What is sorted, and what reaches one task, stays near ``4 * rows`` rows at every size.
+    """
+    share = min(1.0, 4 * rows / max(of, 1))
+    if share < 1:
+        df = df.filter(by < int(-(2**63) + share * 2**64))
+    return df.orderBy(by, *ties).limit(rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

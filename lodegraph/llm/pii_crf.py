@@ -229,17 +229,17 @@ def listing(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], x[0], x[2])))
 
 
-def find(docs: DataFrame, max_train_rows: int = 1500, certainty: float = 0.9, field: Field | None = None) -> DataFrame:
+def find(docs: DataFrame, max_train_rows: int = 5000, certainty: float = 0.9, field: Field | None = None) -> DataFrame:
     """``(doc_id, base_spans, spans)`` for every row of ``docs``; spans are arrays of ``(kind, start, end)`` in code points.
 
     ``spans`` holds the base spans and those the field adds.  A null or empty text has none.  Every row
     is a document of its own, repeated ids included; other columns of ``docs`` are not read.
-    The field is learned on at most ``max_train_rows`` rows with a digit or ``@``, chosen by a hash of the id.
+    The field is learned on those of ``max_train_rows`` rows, chosen by a hash of the id, that have a digit or ``@``.
     """
     if field is None:
-        some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
         # rows with an equal hash are told apart by their texts, so that the choice doesn't depend on the partitions
-        rows = some.orderBy(F.xxhash64(F.lit(13), "doc_id"), C.text_key(F.col("text"))).limit(max_train_rows).collect()
+        some = C.smallest(docs.select("doc_id", "text"), F.xxhash64(F.lit(13), "doc_id"), max_train_rows, docs.count(), (C.text_key(F.col("text")),))
+        rows = some.filter(F.col("text").rlike("[0-9@]")).collect()
         field = train([r["text"] for r in rows])
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -269,7 +269,7 @@ def find(docs: DataFrame, max_train_rows: int = 1500, certainty: float = 0.9, fi
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(s) for s in base], kind), pa.array([told(s) for s in every], kind)], names=["doc_id", "base_spans", "spans"])
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base_spans {spans}, spans {spans}")
+    return C.in_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base_spans {spans}, spans {spans}")
 
 
 def digest(found: DataFrame) -> DataFrame:
