@@ -6,11 +6,12 @@ an order of its own until it meets a full one.  Bands of the signature are bucke
 
 Equal sets are merged first and stand for all their copies, so a group of copies costs one
 row a bucket.  Candidate edges are stars: in each bucket one member is the centre, the
-others are compared with it, and a bucket of ``m`` gives ``m - 1`` pairs.  Members whose
+others are compared with it, and a bucket of ``m`` gives at most ``m - 1`` pairs.  Members whose
 link to the centre fails may still belong to others, so buckets that hold more than one
 component are worked on with new centres, and after ``rounds`` of these the members
 outside a bucket's largest component are compared with all that lie in other components.
-No bucket, partner or candidate is capped.
+Pairs whose overlap is bounded too low by the shingles that only one candidate has are
+left out at every step, which no link is.  No bucket, partner or candidate is capped.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "rk", "n", "fp", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n long, fp binary, bands array<long>")
+    return C.in_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n long, fp binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame:
@@ -107,7 +108,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFra
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
     sent = None
     if wanted.count() <= max_broadcast:
-        sent = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["rk"].to_numpy(np.int64)))
+        sent = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("rk").to_numpy()))
     else:
         rows = rows.join(wanted, "rk", "left_semi")
 
@@ -120,7 +121,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFra
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "hashes"])
 
-    return rows.mapInArrow(run, "fp binary, hashes array<long>").dropDuplicates(["fp"])
+    return C.in_arrow(rows, run, "fp binary, hashes array<long>").dropDuplicates(["fp"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2, max_broadcast: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1, max_broadcast: int = 2_000_000) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Two documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their sets of distinct 5-word
@@ -176,13 +177,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2, max_bro
     """
     profile = C.settle(profiles(docs), "minhash-profiles")
     nodes = C.settle(profile.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-nodes")
-    buckets = nodes.select("fp", "n", "rk", F.explode("bands").alias("bk"))
-    crowded = buckets.groupBy("bk").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bk")
-    members = C.settle(buckets.join(crowded, "bk", "left_semi"), "minhash-buckets")
+    buckets = nodes.select("fp", "n", "rk", F.posexplode("bands").alias("band", "bk"))
+    crowded = buckets.groupBy("bk").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = C.settle(buckets.join(crowded, "bk"), "minhash-buckets")
     labels = None
     if not members.isEmpty():
         sets = C.settle(full_sets(docs, members.select("rk").distinct(), max_broadcast), "minhash-sets")
-        labels = _linked(members.select("bk", "fp", "n"), sets, percent, rounds)
+        # shingles that no other candidate has can't be shared: they bound every overlap of their set
+        alone = sets.select("fp", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("fp").alias("fp"))
+        alone = alone.filter("m = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("alone"))
+        # the member that shares most buckets with others is closest to what a group has in common
+        about = members.groupBy("fp").agg(F.first("n").alias("n"), F.sum("m").alias("weight")).join(alone, "fp", "left")
+        about = about.select("fp", "weight", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("e"))
+        members = C.settle(members.select("bk", "band", "fp", "n").join(about, "fp"), "minhash-members")
+        labels = _linked(members, nodes.select("fp", "bands"), sets, percent, rounds)
     where = nodes.select("fp", "min_id")
     if labels is not None:
         where = where.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -195,9 +203,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 2, max_bro
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
-    """Component labels of the nodes in ``members (bk, fp, n)``, or None without links."""
-    alike = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (F.col("fp") != F.col("cfp"))
+def _linked(members: DataFrame, bands: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
+    """Component labels of the nodes in ``members (bk, band, fp, n, e, weight)``, or None without links; ``bands (fp, bands)``.
+
+    Two sets of ``n`` and ``cn`` shingles, ``e`` and ``ce`` of them not alone, can't be linked unless the smaller
+    of ``e`` and ``ce`` is an overlap large enough for ``n + cn``; other pairs are no candidates.
+    """
+    alike = ((100 + percent) * F.least("e", "ce") >= percent * (F.col("n") + F.col("cn"))) & (F.col("fp") != F.col("cfp"))
     labels = links = tested = None
     for r in range(rounds + 2):
         now = members
@@ -210,15 +222,18 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> D
             if now.isEmpty():
                 break
         if r <= rounds:
-            by = F.xxhash64(F.lit(r), F.col("fp"))
-            centre = now.groupBy("bk").agg(F.min(F.struct(by.alias("h"), "fp", "n", "root")).alias("c"))
-            centre = centre.select("bk", F.col("c.fp").alias("cfp"), F.col("c.n").alias("cn"), F.col("c.root").alias("croot"))
+            by = F.xxhash64(F.lit(r), F.col("fp")) if r else -F.col("weight")
+            centre = now.groupBy("bk").agg(F.min(F.struct(by.alias("h"), "fp", "n", "e", "root")).alias("c"))
+            centre = centre.select("bk", F.col("c.fp").alias("cfp"), F.col("c.n").alias("cn"), F.col("c.e").alias("ce"), F.col("c.root").alias("croot"))
             pairs = now.join(centre, "bk").filter(alike & (F.col("root") != F.col("croot")))
         else:
             sizes = now.groupBy("bk", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bk").agg(F.max(F.struct("k", "root")).alias("top"))
-            rest = now.join(sizes, "bk").filter(F.col("root") != F.col("top.root"))
-            rest = rest.select("bk", F.col("fp").alias("cfp"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-            pairs = now.join(rest, "bk").filter(alike & (F.col("root") != F.col("croot")))
+            now = C.settle(now.join(sizes, "bk").withColumn("rest", F.col("root") != F.col("top.root")).drop("top").join(bands, "fp"), "minhash-rest")
+            rest = now.filter("rest").select("bk", *[F.col(c).alias(f"c{c}") for c in ("fp", "n", "e", "root", "bands")])
+            # a pair is made once: in the first band that both share, and by one of two outside the largest component
+            first = F.array_position(F.zip_with("bands", "cbands", lambda x, y: x == y), True) == F.col("band") + 1
+            once = first & (~F.col("rest") | (F.col("fp") < F.col("cfp")))
+            pairs = now.join(rest, "bk").filter(alike & (F.col("root") != F.col("croot")) & once)
         pairs = _ordered(pairs, "fp", "cfp")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
