@@ -12,7 +12,7 @@ one of the family's templates; a paragraph that is probably a licence but meets
 Scanning uses DataFrame functions only.  A paragraph cannot reach the cutoff without one of
 the model's *anchors*: the words outside the anchors have positive weights that, all of
 them together, would not lift any family to it.  Paragraphs without an anchor are
-therefore passed over, exactly, before their n-grams meet the table of weights.
+therefore passed over, exactly, before their n-grams are looked up.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ import math
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
@@ -182,48 +181,57 @@ def sampled_lines(docs: DataFrame, rows: int) -> list[str]:
     """At most ``rows`` documents' first and last lines for the fit, by a hash of the id and text."""
     order = F.xxhash64(F.lit(17), "doc_id", "text")
     text = F.split(F.col("text"), "\n")
-    chosen = docs.filter("text is not null").select(order.alias("h"), F.get(text, F.lit(0)).alias("a"), F.element_at(text, -1).alias("b"))
-    return [x for r in chosen.orderBy("h", "a", "b").limit(rows).collect() for x in (r["a"], r["b"]) if x]
+    chosen = docs.select(order.alias("h"), F.get(text, F.lit(0)).alias("a"), F.element_at(text, -1).alias("b"))
+    return [x for r in C.smallest(chosen, F.col("h"), rows, docs.count(), ("a", "b")).collect() for x in (r["a"], r["b"]) if x]
 
 
-def _weights_table(spark: SparkSession, model: Classifier) -> DataFrame:
-    """A row for each n-gram: its weights, and the families in whose templates it stands; a few hundred rows, fixed by the templates."""
+def _classified(words: Column, model: Classifier) -> Column:
+    """``(licence, p, share, family)`` of a paragraph's words: the chance of any licence, and the best family's chance and share of n-grams."""
     of_family = [set().union(*map(grams_of, TEMPLATES[f])) for f in FAMILIES]
-    rows = [(g, [float(x) for x in model.weights.get(g, [0.0] * (NONE + 1))], [int(g in own) for own in of_family]) for g in sorted(set().union(*of_family))]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("gram", T.StringType()), T.StructField("weight", T.ArrayType(T.DoubleType())), T.StructField("stands", T.ArrayType(T.IntegerType()))]))
+    vocabulary = sorted(set().union(*of_family))
+    known = F.array(*map(F.lit, vocabulary))
+    weight = [F.array(*[F.lit(float(model.weights.get(g, [0.0] * (NONE + 1))[k])) for g in vocabulary]) for k in range(NONE + 1)]
+    stands = [F.array(*[F.lit(float(g in own)) for g in vocabulary]) for own in of_family]
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    grams = F.array_distinct(F.concat(words, F.filter(pairs, lambda x: x.isNotNull())))
+
+    def of(g: Column) -> Column:
+        n = F.size(g)
+
+        def rate(at: Column) -> Column:
+            total = lambda table: F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, i))
+            raised = F.array(*[F.exp(total(weight[k]) + F.lit(model.bias[k])) for k in range(NONE + 1)])
+
+            def best(e: Column) -> Column:
+                every = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+                options = F.array(*[F.struct((e[k] / every).alias("p"), (total(stands[k]) / n).alias("share"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES)])
+                top = F.array_max(options)
+                return C.let(top, lambda t: F.struct((1 - e[NONE] / every).alias("licence"), t["p"].alias("p"), t["share"].alias("share"), t["family"].alias("family")))
+
+            return C.let(raised, best)
+
+        return C.let(F.transform(F.array_intersect(g, known), lambda x: F.array_position(known, x).cast("int")), rate)
+
+    return C.let(grams, of)
 
 
 def scan(docs: DataFrame, model: Classifier | None = None, sample_rows: int = 300, confirm: float = 0.6) -> DataFrame:
     """``(doc_id, n_paragraphs, n_licence, n_unknown, families)`` of every row of ``docs``.
 
     ``n_licence`` paragraphs belong to the ``families`` (sorted, distinct), ``n_unknown`` are licence notices of no known
-    family.  A null or empty text has no paragraph; rows alike in id and text get equal values; a null
-    id stays null.  Other columns of ``docs`` are not read.
+    family.  A null or empty text has no paragraph; every row is scanned by itself, repeated ones included; a null
+    id stays null.  Other columns of ``docs`` are not read.  No row leaves its task.
     """
-    spark = docs.sparkSession
     model = model or train(sampled_lines(docs, sample_rows))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", C.text_key(F.col("text")).alias("tk"), F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(C.NO_WHITE))).cast("long").alias("n_paragraphs"))
-    lines = docs.select("doc_id", C.text_key(F.col("text")).alias("tk"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     anchors = F.array(*map(F.lit, model.anchors)) if model.anchors else F.array().cast("array<string>")
-    lines = lines.withColumn("words", F.array_remove(F.split(F.lower("line"), _SPLIT), "")).filter(F.arrays_overlap("words", anchors)).drop("line")
-    bigrams = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat_ws(" ", F.when(b.isNotNull(), a), b))
-    grams = lines.select("doc_id", "tk", "at", F.array_distinct(F.concat("words", F.filter(bigrams, lambda x: x.contains(" ")))).alias("grams"))
-    grams = grams.distinct().select("doc_id", "tk", "at", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    known = grams.join(F.broadcast(_weights_table(spark, model)), "gram")
-    sums = [F.sum(F.col("weight")[k]).alias(f"z{k}") for k in range(NONE + 1)] + [F.sum(F.col("stands")[k]).alias(f"s{k}") for k in range(NONE)]
-    found = known.groupBy("doc_id", "tk", "at").agg(F.first("n").alias("n"), *sums)
-    raised = [F.exp(F.col(f"z{k}") + F.lit(model.bias[k])) for k in range(NONE + 1)]
-    total = sum(raised[1:], raised[0])
-    licence = 1 - raised[NONE] / total
-    options = F.array(*[F.struct((raised[k] / total).alias("p"), (F.col(f"s{k}") / F.col("n")).alias("share"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES)])
-    found = found.withColumn("licence", licence).filter(F.col("licence") >= model.cutoff).withColumn("best", F.array_max(options))
-    sure = (F.col("best.p") >= model.cutoff) & (F.col("best.share") >= confirm)
-    likely = F.col("best.share") >= confirm / 2
-    by_doc = found.groupBy("doc_id", "tk").agg(
-        F.sum(sure.cast("long")).alias("n_licence"), F.sum((~sure & likely).cast("long")).alias("n_unknown"), F.array_sort(F.collect_set(F.when(sure, F.col("best.family")))).alias("families")
-    )
-    by_doc = by_doc.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "n_licence", "n_unknown", "families")
-    out = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "n_paragraphs", zero("n_licence"), zero("n_unknown"), F.coalesce("families", F.array().cast("array<string>")).alias("families"))
+    rows = docs.select("doc_id", F.filter(F.split(text, "\n"), lambda x: x.rlike(C.NO_WHITE)).alias("_lines"))
+    words = F.transform("_lines", lambda x: F.array_remove(F.split(F.lower(x), _SPLIT), ""))
+    rows = rows.select("doc_id", F.size("_lines").cast("long").alias("n_paragraphs"), F.filter(words, lambda w: F.arrays_overlap(w, anchors)).alias("_words"))
+    found = F.filter(F.transform("_words", lambda w: _classified(w, model)), lambda x: x["licence"] >= model.cutoff)
+    rows = rows.select("doc_id", "n_paragraphs", found.alias("_found"))
+    sure = lambda x: (x["p"] >= model.cutoff) & (x["share"] >= confirm)
+    likely = lambda x: ~sure(x) & (x["share"] >= confirm / 2)
+    families = F.array_sort(F.array_distinct(F.transform(F.filter("_found", sure), lambda x: x["family"])))
+    count = lambda test: F.size(F.filter("_found", test)).cast("long")
+    return rows.select("doc_id", "n_paragraphs", count(sure).alias("n_licence"), count(likely).alias("n_unknown"), families.alias("families"))
