@@ -16,7 +16,9 @@ recursion splits into a sum over a document's tokens of ``log P(w) + log alpha(h
 bigrams that were seen, a correction ``log P(w|h) - log P(w) - log alpha(h)``, which is stored with
 the bigram.  The most frequent unigrams and bigrams - a fixed number, whatever the corpus -
 are sent to the tasks as sorted arrays; the occurrences they don't cover are gathered by
-document within a task and joined with the full tables.
+document within a task and looked up in the full tables: rare words by a join, pairs by
+sorted, packed ranges of hashes, in which a pair of a document takes some seven bytes
+(corrections, logarithms within 32 of zero, are kept to 26 binary places there).
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,6 +42,9 @@ from . import common as C
 LARGE = 5
 #: Entries of the unigram and bigram tables that are sent to the tasks; 24 and 16 bytes each.
 HEAD_WORDS, HEAD_PAIRS = 1 << 19, 1 << 20
+#: Packed pairs: of a range of hashes, of the model or of documents.
+FIXED = 2.0**26
+BLOCKS = "shard int, model boolean, block binary"
 #: Tokens a task gathers before it passes on their counts.
 GATHER = 2_000_000
 START, END = np.int64(xxhash.xxh3_64_intdigest(b"\x00start") - (1 << 63)), np.int64(xxhash.xxh3_64_intdigest(b"\x00end") - (1 << 63))
@@ -84,7 +91,40 @@ def _counted(docs: DataFrame, pairs: bool) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInArrow(run, "h long, w long, c long" if pairs else "w long, c long")
+    return C.in_arrow(docs.select("text"), run, "h long, w long, c long" if pairs else "w long, c long")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, plane by plane: high planes of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _shards(g: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` equal ranges of hashes begins in sorted ``g``, and the end."""
+    cuts = np.array([-(-(k << 64) // n) for k in range(1, n)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(g, cuts), [len(g)]]).astype(np.int64)
+
+
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """Equally long or not, arrays of whole numbers as one compressed block."""
+    raw = [_planes(x) for x in parts]
+    head = np.array([len(raw), *[len(x) for x in raw]], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+
+
+def _unpacked(block: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(raw[:8], "<i8")[0])
+    sizes = np.frombuffer(raw[8 : 8 + 8 * n], "<i8").tolist()
+    out, at = [], 8 + 8 * n
+    for size in sizes:
+        out.append(_numbers(raw[at : at + size]))
+        at += size
+    return out
 
 
 def discounts(counts: dict[int, int]) -> np.ndarray:
@@ -201,7 +241,8 @@ def fit(docs: DataFrame) -> Model:
     head_words = _head(unigrams, HEAD_WORDS).unionByName(unigrams.filter(F.col("w").isin(int(START), int(END)))).dropDuplicates(["w"])
     model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None)
     model.head_pairs = corrections(_head(table, HEAD_PAIRS).filter("cw is not null").select("h", "w", "c", p1(F.col("cw")).alias("p")), histories, d2)
-    model.seen = [corrections(part, histories, d2) for part in model.seen]
+    rare = others.repartition(parts, "h")
+    model.seen = [corrections(part, histories, d2) for part in (with_head, rare)]
     return model
 
 
@@ -211,17 +252,39 @@ def corrections(pairs: DataFrame, histories: DataFrame, d: np.ndarray) -> DataFr
     return pairs.join(histories, "h").select("h", "w", (F.log10(kept / F.col("ch")) - F.log10("p") - F.col("loga")).alias("delta"))
 
 
+@contextmanager
+def by_some_keys(spark):
+    """Let tables that lie partitioned by the history alone be joined on history and word as they lie."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def release(spark) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referred to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool) -> DataFrame:
-    """Cold: ``(h, w, rk, k)``, the pairs outside the head by document.  Else ``(rk, doc_id, w, k, n_tokens, n_known, base, score)``:
+def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool, shards: int = 1) -> DataFrame:
+    """Cold: ``(shard, model, block)``, the pairs outside the head by document, sorted by hash and packed by ranges of hashes.  Else ``(rk, doc_id, w, k, n_tokens, n_known, base, score)``:
     a row with the sums of the head for each document, and one for each of its words outside it (``w`` not null)."""
     n, v = model.n, model.v
 
+    def blocks(g: np.ndarray, more: tuple, rk: np.ndarray) -> pa.RecordBatch:
+        doc, k = more
+        cuts, shard, block = _shards(g, shards), [], []
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[s], cuts[s + 1]
+            own, local = np.unique(doc[a:b], return_inverse=True)
+            shard.append(s)
+            block.append(_packed([np.diff(g[a:b], prepend=np.uint64(0)), local, k[a:b], rk[own]]))
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([False] * len(shard), pa.bool_()), pa.array(block, pa.binary())], names=["shard", "model", "block"])
+
     def flush(rk: list, ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in held])
         w = np.concatenate(held)
@@ -233,12 +296,12 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool) -> DataFra
         in_pairs, pair_hit = _find(pk, pair_hash(h, w))
         if cold:
             rest = np.flatnonzero(~pair_hit)
-            h, w, doc = h[rest], w[rest], doc[rest]
-            order = np.lexsort((doc, w, h))
-            h, w, doc = h[order], w[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
-            keys = np.array(rk, np.int64)[doc[new]] if len(new) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(w[new]), pa.array(keys), pa.array(np.diff(np.append(new, len(h))))], names=["h", "w", "rk", "k"])
+            g, doc = pair_hash(h[rest], w[rest]).view(np.uint64), doc[rest]
+            order = np.lexsort((doc, g))
+            g, doc = g[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
+            k = np.diff(np.append(new, len(g)))
+            return blocks(g[new], (doc[new], k), np.array(rk, np.int64))
         at, hit = _find(wk, w)
         count = np.where(hit, wc[at] if len(wc) else 0, 0)
         # as a token and, but for the end, as a history; the start symbol is a history once a document
@@ -281,8 +344,54 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool) -> DataFra
             yield flush(rk, ids, held)
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    schema = "h long, w long, rk long, k long" if cold else f"rk long, doc_id {id_type.simpleString()}, w long, k long, n_tokens long, n_known long, base double, score double"
-    return rows.mapInArrow(run, schema)
+    schema = BLOCKS if cold else f"rk long, doc_id {id_type.simpleString()}, w long, k long, n_tokens long, n_known long, base double, score double"
+    return C.in_arrow(rows, run, schema)
+
+
+def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(h, w, delta)`` as blocks of sorted hashes and corrections."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        g = np.concatenate([x for x, _ in held])
+        order = np.argsort(g, kind="stable")
+        g, delta = g[order], np.concatenate([x for _, x in held])[order]
+        cuts = _shards(g, shards)
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        block = [_packed([np.diff(g[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)), np.rint(delta[cuts[s] : cuts[s + 1]] * FIXED).astype("<i4").view("<u4")]) for s in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([True] * len(full), pa.bool_()), pa.array(block, pa.binary())], names=["shard", "model", "block"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.uint64), batch.column(2).to_numpy()))
+        n += batch.num_rows
+        if n >= GATHER:
+            yield flush(held)
+            held, n = [], 0
+    if held:
+        yield flush(held)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Look the documents' pairs up in the model's, one range of hashes at a time; a partition holds a few ranges."""
+    model: dict[int, list[bytes]] = {}
+    docs: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for shard, is_model, block in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            (model if is_model else docs).setdefault(shard, []).append(block)
+    for shard, blocks in docs.items():
+        table = [_unpacked(b) for b in model.pop(shard, [])]
+        if not table:
+            continue
+        g = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in table])
+        delta = np.concatenate([x[1].astype("<u4").view("<i4") for x in table]) / FIXED
+        order = np.argsort(g, kind="stable")
+        g, delta = g[order], delta[order]
+        for block in blocks:
+            steps, doc, k, rk = _unpacked(block)
+            at, hit = _find(g, np.cumsum(steps, dtype=np.uint64))
+            value = np.where(hit, delta[at] * k, 0.0)
+            sums = np.bincount(doc.astype(np.int64), weights=value, minlength=len(rk))
+            yield pa.RecordBatch.from_arrays([pa.array(rk.view(np.int64)), pa.array(sums)], names=["rk", "score"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -309,12 +418,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("base"),
         F.sum(F.col("k") * (F.coalesce("logp", unknown) + F.coalesce("loga", F.lit(0.0)))).alias("score"),
     )
-    cold = _gathered(docs, model, head, True).repartition(C.shuffle_partitions(spark), "h")
-    found = None
-    for part in model.seen:
-        hit = cold.join(part, ["h", "w"]).groupBy("rk").agg(F.sum(F.col("k") * F.col("delta")).alias("score"))
-        found = hit if found is None else found.unionByName(hit)
-    found = C.settle(found, "katz-corrections")
+    shards = C.shuffle_partitions(spark)
+    cold = _gathered(docs, model, head, True, shards)
+    with by_some_keys(spark):
+        seen = model.seen[0].unionByName(model.seen[1])
+        both = cold.unionByName(seen.mapInArrow(lambda batches: _model_blocks(batches, shards), BLOCKS)).repartition(shards, "shard")
+        found = both.mapInArrow(_joined, "rk long, score double").groupBy("rk").agg(F.sum("score").alias("score"))
+        found = C.settle(found, "katz-corrections")
+    release(spark)
     parts = own.select("rk", F.lit(1).alias("m"), "n_tokens", "n_known", "base", "score")
     parts = parts.unionByName(rare.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), "n_known", "base", "score"))
     parts = parts.unionByName(found.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), none.cast("long").alias("n_known"), none.cast("double").alias("base"), "score"))
