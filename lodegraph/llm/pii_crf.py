@@ -158,7 +158,7 @@ class Field:
 
 
 def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Node weights by multinomial logistic regression, edge tables from smoothed label co-occurrence."""
+    """Node weights by multinomial logistic regression, edge tables from label co-occurrence."""
     rows, labels, n_labels = [], [], len(LABELS)
     pairs = np.ones((2, n_labels, n_labels)) * 0.5
     single = np.ones(n_labels)
@@ -167,6 +167,9 @@ def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float =
         keys = [m.span(1) for m in _KEY.finditer(text)]
         nodes = nodes_of(text, spans)
         own = [n.label if n.label > 0 else len(KINDS) if any(s <= n.start and n.end <= e for s, e in keys) else 0 for n in nodes]
+        # what is an entity in one place of a document is one wherever the same text stands
+        known = {n.text.lower(): y for n, y in zip(nodes, own, strict=True) if y}
+        own = [y or known.get(n.text.lower(), 0) for n, y in zip(nodes, own, strict=True)]
         rows += [features(n) for n in nodes]
         labels += own
         for i, j, kind in edges_of(nodes):
@@ -190,8 +193,10 @@ def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float =
     joint = pairs / pairs.sum((1, 2), keepdims=True)
     table = np.log(joint / (share[:, None] * share[None, :]))
     table[0] = np.clip(table[0], -0.5, 0.5)
-    agree = np.eye(n_labels, dtype=bool)
-    table[1] = np.where(agree, np.clip(table[1], 0, 4), np.clip(table[1], -4, 0))
+    # repetitions: one weight for agreement, from how often they agree; five and one are its prior counts
+    agree = np.trace(pairs[1]) - 0.5 * n_labels + 5
+    differ = pairs[1].sum() - np.trace(pairs[1]) - 0.5 * n_labels * (n_labels - 1) + 1
+    table[1] = np.eye(n_labels) * np.clip(np.log(agree / differ), 0, 4)
     return Field(weights, table)
 
 
