@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return C.in_arrow(docs.select("doc_id", "text"), cut, schema)
 
 
 def fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
