@@ -214,7 +214,7 @@ def _searched(docs: DataFrame, sent, schema: str, gram: int, enough: float) -> D
             ids = pa.array(items) if items else pa.array([], item_type)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), ids, pa.array(first, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "item_id", "first_word", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return C.in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

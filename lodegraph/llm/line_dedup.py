@@ -109,7 +109,7 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", C.text_key(F.col("text")).alias("tk"), "text")
-    return rows.mapInArrow(extract, f"doc_id {id_type}, tk long, hi long, lo long")
+    return C.in_arrow(rows, extract, f"doc_id {id_type}, tk long, hi long, lo long")
 
 
 def _rewritten(docs: DataFrame, frequent_of, extra: list[str]) -> DataFrame:
@@ -131,7 +131,7 @@ def _rewritten(docs: DataFrame, frequent_of, extra: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], names=[*extra, "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.mapInArrow(rewrite, f"{schema}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    return C.in_arrow(docs, rewrite, f"{schema}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 3, max_broadcast_keys: int = 1_000_000) -> DataFrame:
@@ -156,8 +156,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     results = ("n_lines", "n_dropped", "kept_text", "kept_sha256")
     extra = [c for c in docs.columns if c != "text" and c not in results]
     if frequent.count() <= max_broadcast_keys:
-        rows = frequent.toPandas()
-        packed = np.column_stack([rows["hi"].to_numpy(np.int64), rows["lo"].to_numpy(np.int64)]).astype(">i8").tobytes()
+        rows = frequent.toArrow()
+        packed = np.column_stack([rows.column("hi").to_numpy(), rows.column("lo").to_numpy()]).astype(">i8").tobytes()
         sent = spark.sparkContext.broadcast(frozenset(packed[i : i + 16] for i in range(0, len(packed), 16)))
         return _rewritten(docs.select(*extra, "text"), lambda batch: [sent.value] * batch.num_rows, extra)
     hits = keys.join(frequent, ["hi", "lo"], "left_semi").dropDuplicates(["doc_id", "tk", "hi", "lo"])

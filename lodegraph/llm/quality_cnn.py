@@ -181,7 +181,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int, fol
     """At most ``max_train_rows`` labelled texts outside fold 0, half of each label where there are enough, chosen by a hash of the id."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (C.id_bucket(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("_by", F.xxhash64(F.lit(11), "doc_id"))
-    half = [known.filter(F.col("quality") == q).orderBy("_by", "doc_id").limit(max_train_rows // 2) for q in (0, 1)]
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    half = [C.smallest(known.filter(F.col("quality") == q), F.col("_by"), max_train_rows // 2, counts.get(q, 0), ("doc_id",)) for q in (0, 1)]
     chosen = half[0].unionByName(half[1]).select("doc_id", "quality")
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
     return [C.to_bytes(r["text"]) for r in found], np.array([r["quality"] for r in found], np.int64)
@@ -214,4 +215,4 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (C.id_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return C.in_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
