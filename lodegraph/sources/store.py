@@ -301,8 +301,6 @@ class Transaction:
             rows = tagged.join(F.broadcast(table), F.col("create|p") == F.col("p")).withColumn(number, shifted).drop("create|p", "create|i", "p", "start")
         else:
             rows = rows.withColumn(number, F.lit(0).cast("bigint"))
-        if n == 0:
-            return 0
         compiler = Compiler(state.scope, planner.params)
         ids: dict[str, object] = {}
         labels_of: dict[str, object] = {}
@@ -359,7 +357,7 @@ class Transaction:
             e = state.scope.entities[name]
             v = self._storable(compiler(expr))
             parts = ["id"] if e.kind == "node" else ["src", "type", "dst"]
-            col = v.col if v.type.name != "null" else F.lit(None).cast("string")
+            col = v.col if v.type.name != "null" else F.lit(None)
             staged = rows.filter(ref(e.column(parts[0])).isNotNull()).select(*[ref(e.column(p)).alias(p) for p in parts], col.alias(f"set:{key}"))
             count += staged.count()
             (self.node_sets if e.kind == "node" else self.edge_sets).append(staged)
@@ -533,7 +531,7 @@ def _widened(frames: list[DataFrame]) -> DataFrame:
 
 
 def _folded(sets: list[DataFrame], keys: list[str]) -> DataFrame | None:
-    """One row for each entity: of each key the last assignment, with a mark where there was one."""
+    """One row for each entity: of each key the last assignment, with a mark where there was one; ``unset:`` where all are null."""
     if not sets:
         return None
     names = list(dict.fromkeys(c for df in sets for c in df.columns if c not in keys))
@@ -543,6 +541,8 @@ def _folded(sets: list[DataFrame], keys: list[str]) -> DataFrame | None:
             if c not in keys:
                 kind = V.from_spark(df.schema[c].dataType)
                 kinds[c] = kind if c not in kinds else (V.common([kinds[c], kind]) or V.STRING)
+    unset = {c for c, k in kinds.items() if k.name == "null"}
+    kinds |= dict.fromkeys(unset, V.BOOL)
     parts = []
     for i, df in enumerate(sets):
         cols = []
@@ -553,7 +553,7 @@ def _folded(sets: list[DataFrame], keys: list[str]) -> DataFrame | None:
             else:
                 cols.append(F.lit(None).cast(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("v", V.spark_type(kinds[c]))])).alias(c))
         parts.append(df.select(*keys, *cols))
-    return _union(parts).groupBy(*keys).agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in names])
+    return _union(parts).groupBy(*keys).agg(*[F.max(F.col(f"`{c}`")).alias(c.replace("set:", "unset:", 1) if c in unset else c) for c in names])
 
 
 def _applied(df: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
@@ -561,6 +561,9 @@ def _applied(df: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     joined = df.join(sets, keys, "left")
     cols = []
     for c in [*df.columns, *[n[4:] for n in names if n[4:] not in df.columns]]:
+        if f"unset:{c}" in sets.columns:
+            cols.append(F.when(F.col(f"`unset:{c}`").isNull(), F.col(f"`{c}`")).alias(c))
+            continue
         if f"set:{c}" not in names:
             cols.append(F.col(f"`{c}`"))
             continue
