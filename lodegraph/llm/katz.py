@@ -185,7 +185,12 @@ class Model:
     v: int
     log_unknown: float
     head_words: DataFrame
-    head_pairs: DataFrame
+    head_pairs: DataFrame | None
+    table: str
+
+    def close(self) -> None:
+        """Drop the table of pairs; what :func:`score` has returned doesn't need it."""
+        self.words.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -239,7 +244,7 @@ def fit(docs: DataFrame) -> Model:
     unigrams = words.join(histories.select(F.col("h").alias("w"), "loga"), "w", "full")
     unigrams = C.settle(unigrams.select("w", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.log10(p1(F.col("c"))), F.lit(0.0)).alias("logp"), F.coalesce("loga", F.lit(0.0)).alias("loga")), "katz-unigrams")
     head_words = _head(unigrams, HEAD_WORDS).unionByName(unigrams.filter(F.col("w").isin(int(START), int(END)))).dropDuplicates(["w"])
-    model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None)
+    model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None, name)
     model.head_pairs = corrections(_head(table, HEAD_PAIRS).filter("cw is not null").select("h", "w", "c", p1(F.col("cw")).alias("p")), histories, d2)
     rare = others.repartition(parts, "h")
     model.seen = [corrections(part, histories, d2) for part in (with_head, rare)]

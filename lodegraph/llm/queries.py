@@ -57,7 +57,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held_out = common.id_bucket(F.col("doc_id"), 7) == 2
-    found = katz.score(docs, katz.fit(docs.filter(~held_out)))
+    model = katz.fit(docs.filter(~held_out))
+    found = katz.score(docs, model)
+    model.close()
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
