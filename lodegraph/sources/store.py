@@ -3,19 +3,14 @@
 A graph is a folder with ``manifest.json``, which names the tables of the current version, and one folder for
 each commit.  A commit writes new tables for the label sets and types that changed and
 then replaces the manifest in one step, so a reader sees all of a version or nothing of
-it; tables that did not change are shared between versions.  One writer at a time holds
-``writer.lock``.  The manifest and the lock are small files of the driver, on a local or
-mounted path; the tables are Spark's.
+it; earlier versions stay readable.  One writer at a time holds ``writer.lock``.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +24,7 @@ from ..operators.expressions import Compiler, Scope, ref
 from ..operators.values import Value
 from ..plans.planner import Planner, State
 from .catalog import Graph, NodeTable, RelTable
+from .files import Folder, scratch_path
 
 FORMAT = 1
 MANIFEST, LOCK = "manifest.json", "writer.lock"
@@ -38,14 +34,14 @@ class Store:
     """A stored graph; :meth:`graph` is a snapshot of its current (or a given) version."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
+        self.spark, self.path, self.files = spark, str(path).rstrip("/"), Folder(spark, str(path))
 
     @staticmethod
     def create(spark: SparkSession, path: str) -> Store:
         store = Store(spark, path)
-        if (store.path / MANIFEST).exists():
+        if store.files.exists(MANIFEST):
             raise StorageError(f"{path} holds a graph already")
-        store.path.mkdir(parents=True, exist_ok=True)
+        store.files.make()
         store._publish({"format": FORMAT, "version": 0, "next_id": 0, "next_ext": 1, "labels": [], "types": [], "nodes": [], "rels": []})
         return store
 
@@ -53,7 +49,7 @@ class Store:
     def open(spark: SparkSession, path: str) -> Store:
         """Open a graph, or make an empty one."""
         store = Store(spark, path)
-        if not (store.path / MANIFEST).exists():
+        if not store.files.exists(MANIFEST):
             return Store.create(spark, path)
         store.manifest()
         return store
@@ -61,26 +57,21 @@ class Store:
     def manifest(self, version: int | None = None) -> dict:
         name = MANIFEST if version is None else f"manifest-{version}.json"
         try:
-            found = json.loads((self.path / name).read_text())
+            found = json.loads(self.files.read(name))
         except FileNotFoundError:
             raise NotFound(f"{self.path} has no version {version}" if version is not None else f"{self.path} holds no graph") from None
         except ValueError as e:
-            raise StorageError(f"{self.path / name} can't be read: {e}") from e
+            raise StorageError(f"{self.path}/{name} can't be read: {e}") from e
         if found.get("format") != FORMAT:
             raise StorageError(f"format {found.get('format')} is not {FORMAT}")
         return found
 
     def _publish(self, manifest: dict) -> None:
         for name in (f"manifest-{manifest['version']}.json", MANIFEST):
-            new = self.path / f".{name}.{uuid.uuid4().hex}"
-            with new.open("w") as f:
-                json.dump(manifest, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(new, self.path / name)
+            self.files.replace(name, json.dumps(manifest))
 
     def _frame(self, entry: dict) -> DataFrame:
-        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(str(self.path / entry["path"]))
+        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(f"{self.path}/{entry['path']}")
 
     def graph(self, version: int | None = None) -> Graph:
         m = self.manifest(version)
@@ -110,7 +101,7 @@ def visible(g: Graph) -> Graph:
 
 
 def scratch_store(spark: SparkSession) -> Store:
-    return Store.create(spark, os.path.join(tempfile.gettempdir(), "lodegraph-graphs", uuid.uuid4().hex))
+    return Store.create(spark, scratch_path(spark, "graph"))
 
 
 @dataclass
@@ -130,11 +121,8 @@ class Transaction:
 
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
-        self.lock = store.path / LOCK
-        try:
-            os.close(os.open(self.lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        except FileExistsError:
-            raise Conflict(f"{store.path} is being written") from None
+        if not store.files.create(LOCK):
+            raise Conflict(f"{store.path} is being written")
         self.open = True
         self.manifest = store.manifest()
         self.base = [NodeTable(tuple(e["labels"]), store._frame(e), "_ext") for e in self.manifest["nodes"]]
@@ -161,7 +149,7 @@ class Transaction:
     def rollback(self) -> None:
         if self.open:
             self.open = False
-            self.lock.unlink(missing_ok=True)
+            self.store.files.delete(LOCK)
 
     # -- the typed interface
 
@@ -280,7 +268,7 @@ class Transaction:
         """The rows a clause works on, fixed once: staged plans must not see other data later."""
         if state.df is None:
             return self.spark.range(1).select()
-        where = str(self.store.path / "staged" / uuid.uuid4().hex)
+        where = f"{self.store.path}/staged/{uuid.uuid4().hex}"
         names = {c: f"c{i}" for i, c in enumerate(state.df.columns)}
         state.df.select(*[ref(c).alias(n) for c, n in names.items()]).write.parquet(where)
         back = self.spark.read.parquet(where)
@@ -411,7 +399,7 @@ class Transaction:
         entries, written = [], []
         for i, (labels, df) in enumerate(nodes):
             entry = {"path": f"{folder}/nodes-{i}", "labels": list(labels), "schema": None}
-            df.write.parquet(str(self.store.path / entry["path"]))
+            df.write.parquet(f"{self.store.path}/{entry['path']}")
             entry["schema"] = json.loads(df.schema.json())
             entries.append(entry)
             written.append(NodeTable(labels, self.store._frame(entry), "_ext"))
@@ -483,7 +471,7 @@ class Transaction:
             if live is None:
                 continue
             ends = df.join(live.select(F.col("id").alias("src"), F.col("labels").alias("_s")), "src", "left").join(live.select(F.col("id").alias("dst"), F.col("labels").alias("_t")), "dst", "left")
-            staged = str(self.store.path / folder / f"staged-{len(out)}-{uuid.uuid4().hex[:6]}")
+            staged = f"{self.store.path}/{folder}/staged-{len(out)}-{uuid.uuid4().hex[:6]}"
             ends.write.parquet(staged)
             ends = self.spark.read.schema(ends.schema).parquet(staged)
             if not ends.filter("_s is null or _t is null").isEmpty():
@@ -492,7 +480,7 @@ class Transaction:
             for r in ends.select("_s", "_t").distinct().collect():  # as many as there are pairs of label sets
                 part = ends.filter((F.col("_s") == r["_s"]) & (F.col("_t") == r["_t"])).select(*[F.col(f"`{c}`") for c in cols])
                 entry = {"path": f"{folder}/rels-{len(out)}", "type": kind, "source": _labels(r["_s"]), "target": _labels(r["_t"]), "schema": json.loads(part.schema.json())}
-                part.write.parquet(str(self.store.path / entry["path"]))
+                part.write.parquet(f"{self.store.path}/{entry['path']}")
                 out.append(entry)
         return out
 

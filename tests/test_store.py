@@ -2,6 +2,7 @@
 
 import io
 import json
+from pathlib import Path
 
 import pytest
 
@@ -104,7 +105,9 @@ def test_one_writer_and_formats(store, spark):
             store.begin()
     with pytest.raises(StorageError):
         Store.create(spark, str(store.path))
-    manifest = store.path / "manifest.json"
+    manifest = Path(store.path) / "manifest.json"
+    for old in Path(store.path).glob(".manifest.json*crc"):
+        old.unlink()
     manifest.write_text(json.dumps(json.loads(manifest.read_text()) | {"format": 99}))
     with pytest.raises(StorageError):
         Store.open(spark, str(store.path))
