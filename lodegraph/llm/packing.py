@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 #: Words a worker remembers the ids of before it starts anew, and bits of the table of words met once.
-CACHE_WORDS, MET_BITS = 600_000, 22
+CACHE_WORDS, MET_BITS = 500_000, 22
 #: ASCII punctuation but the apostrophe, which may belong to the token of what follows it.
 ENDS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
@@ -242,7 +242,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     table = np.array(sorted(rows), np.int64).reshape(-1, 6)
     sent = spark.sparkContext.broadcast((table[:, 0] << 44 | table[:, 1], table))
     rank = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_uid")) - 1
-    ranked = cut.withColumn("_rank", rank).join(starts, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # the numbers alone are ranked and placed; the pieces' ids stay where they are while the places are few enough to send
+    slim = cut.select("_uid", "length", "_part").withColumn("_rank", rank)
+    ranked = slim.join(starts, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
     def place(lengths: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         keys, steps = sent.value
@@ -253,5 +255,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             yield pd.DataFrame({"sequence_id": step[:, 4] + at // step[:, 3], "offset": step[:, 5] + at % step[:, 3] * length})
 
     placed = F.pandas_udf(place, "sequence_id long, offset long")
-    kept = [c for c in cut.columns if not c.startswith("_")]
-    return ranked.select(*kept, placed("length", "_rank").alias("_at")).select(*kept, "_at.sequence_id", "_at.offset")
+    places = ranked.select("_uid", placed("length", "_rank").alias("_at")).select("_uid", "_at.sequence_id", "_at.offset")
+    return cut.join(C.small(places), "_uid").select(*[c for c in cut.columns if not c.startswith("_")], "sequence_id", "offset")
