@@ -42,9 +42,9 @@ from . import common as C
 LARGE = 5
 #: Entries of the unigram and bigram tables that are sent to the tasks; 24 and 16 bytes each.
 HEAD_WORDS, HEAD_PAIRS = 1 << 19, 1 << 20
-#: Packed pairs: of a range of hashes, of the model or of documents.
+#: Packed blocks by range of hashes: pairs of documents (kind 0), pairs of the model (1), sums of documents (2).
 FIXED = 2.0**26
-BLOCKS = "shard int, model boolean, block binary"
+BLOCKS = "shard int, kind int, block binary"
 #: Tokens a task gathers before it passes on their counts.
 GATHER = 2_000_000
 START, END = np.int64(xxhash.xxh3_64_intdigest(b"\x00start") - (1 << 63)), np.int64(xxhash.xxh3_64_intdigest(b"\x00end") - (1 << 63))
@@ -214,19 +214,13 @@ def fit(docs: DataFrame) -> Model:
         return F.lit(scale / max(n, 1)) * _discount(c, d1) * c
 
     top = _head(words, HEAD_WORDS)
-    head = spark.sparkContext.broadcast(_arrays(top.select("w", "c"), "w"))
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = head.value
-        for batch in batches:
-            at, hit = _find(keys, batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts[at] if len(counts) else at, mask=~hit)], names=["h", "w", "c", "cw"])
-
     parts = C.shuffle_partitions(spark)
     pairs = _counted(docs, True).repartition(parts, "h").groupBy("h", "w").agg(F.sum("c").alias("c"))
     name = f"katz_pairs_{uuid.uuid4().hex}"
-    pairs.mapInArrow(known, "h long, w long, c long, cw long").repartition(parts, "h").write.bucketBy(parts, "h").sortBy("h", "w").saveAsTable(name, format="parquet")
-    del pairs
+    # the rows already lie by the hash of h, as the buckets do: each task writes one of them
+    known = pairs.join(F.broadcast(top.select("w", F.col("c").alias("cw"))), "w", "left").select("h", "w", "c", "cw")
+    known.write.bucketBy(parts, "h").sortBy("h", "w").saveAsTable(name, format="parquet")
+    del pairs, known
     release(spark)
     table = spark.table(name)
     d2 = discounts(_count_of_counts(table))
@@ -275,20 +269,23 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool, shards: int = 1) -> DataFrame:
-    """Cold: ``(shard, model, block)``, the pairs outside the head by document, sorted by hash and packed by ranges of hashes.  Else ``(rk, doc_id, w, k, n_tokens, n_known, base, score)``:
-    a row with the sums of the head for each document, and one for each of its words outside it (``w`` not null)."""
+def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFrame:
+    """Blocks of :data:`BLOCKS`: for stretches of documents, the sums of what the head tells (kind 2) and the pairs outside it,
+    sorted by hash and packed by ranges of hashes (kind 0)."""
     n, v = model.n, model.v
 
-    def blocks(g: np.ndarray, more: tuple, rk: np.ndarray) -> pa.RecordBatch:
-        doc, k = more
-        cuts, shard, block = _shards(g, shards), [], []
+    def blocks(g: np.ndarray, doc: np.ndarray, k: np.ndarray, rk: np.ndarray, sums: pa.RecordBatch) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, sums.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(sums)
+        cuts, shard, block = _shards(g, shards), [int(rk[0]) % shards], [sink.getvalue().to_pybytes()]
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[s], cuts[s + 1]
             own, local = np.unique(doc[a:b], return_inverse=True)
             shard.append(s)
             block.append(_packed([np.diff(g[a:b], prepend=np.uint64(0)), local, k[a:b], rk[own]]))
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([False] * len(shard), pa.bool_()), pa.array(block, pa.binary())], names=["shard", "model", "block"])
+        kinds = [2] + [0] * (len(shard) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kinds, pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
 
     def flush(rk: list, ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(t) for t in held])
@@ -299,14 +296,6 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool, shards: in
         doc = np.repeat(np.arange(len(held)), lengths)
         (wk, wc, wp, wa), (pk, pd_) = head.value
         in_pairs, pair_hit = _find(pk, pair_hash(h, w))
-        if cold:
-            rest = np.flatnonzero(~pair_hit)
-            g, doc = pair_hash(h[rest], w[rest]).view(np.uint64), doc[rest]
-            order = np.lexsort((doc, g))
-            g, doc = g[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
-            k = np.diff(np.append(new, len(g)))
-            return blocks(g[new], (doc[new], k), np.array(rk, np.int64))
         at, hit = _find(wk, w)
         count = np.where(hit, wc[at] if len(wc) else 0, 0)
         # as a token and, but for the end, as a history; the start symbol is a history once a document
@@ -325,11 +314,17 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool, shards: in
         keys = np.array(rk, np.int64)
         m, r = len(held), len(new)
         none = lambda x, dtype: pa.concat_arrays([pa.array(x, dtype), pa.nulls(r, dtype)])
-        return pa.RecordBatch.from_arrays(
+        sums_of = pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([keys, keys[rd[new]]])), pa.concat_arrays([pa.array(ids, id_arrow), pa.nulls(r, id_arrow)]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(rw[new], pa.int64())]), pa.array(np.concatenate([np.ones(m, np.int64), k])),
              none(lengths, pa.int64()), none(sums((count > 0).astype(np.int64)), pa.int64()), none(sums(base), pa.float64()), none(sums(value) + start_loga, pa.float64())],
             names=["rk", "doc_id", "w", "k", "n_tokens", "n_known", "base", "score"],
         )
+        rest = np.flatnonzero(~pair_hit)
+        g, doc = pair_hash(h[rest], w[rest]).view(np.uint64), doc[rest]
+        order = np.lexsort((doc, g))
+        g, doc = g[order], doc[order]
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
+        return blocks(g[new], doc[new], np.diff(np.append(new, len(g))), keys, sums_of)
 
     id_type = docs.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
@@ -349,8 +344,7 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, cold: bool, shards: in
             yield flush(rk, ids, held)
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
-    schema = BLOCKS if cold else f"rk long, doc_id {id_type.simpleString()}, w long, k long, n_tokens long, n_known long, base double, score double"
-    return C.in_arrow(rows, run, schema)
+    return C.in_arrow(rows, run, BLOCKS)
 
 
 def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -363,7 +357,7 @@ def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
         cuts = _shards(g, shards)
         full = np.flatnonzero(np.diff(cuts)).tolist()
         block = [_packed([np.diff(g[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)), np.rint(delta[cuts[s] : cuts[s + 1]] * FIXED).astype("<i4").view("<u4")]) for s in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([True] * len(full), pa.bool_()), pa.array(block, pa.binary())], names=["shard", "model", "block"])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([1] * len(full), pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
 
     held, n = [], 0
     for batch in batches:
@@ -376,27 +370,36 @@ def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
         yield flush(held)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(id_arrow: pa.DataType):
     """Look the documents' pairs up in the model's, one range of hashes at a time; a partition holds a few ranges."""
-    model: dict[int, list[bytes]] = {}
-    docs: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for shard, is_model, block in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            (model if is_model else docs).setdefault(shard, []).append(block)
-    for shard, blocks in docs.items():
-        table = [_unpacked(b) for b in model.pop(shard, [])]
-        if not table:
-            continue
-        g = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in table])
-        delta = np.concatenate([x[1].astype("<u4").view("<i4") for x in table]) / FIXED
-        order = np.argsort(g, kind="stable")
-        g, delta = g[order], delta[order]
-        for block in blocks:
-            steps, doc, k, rk = _unpacked(block)
-            at, hit = _find(g, np.cumsum(steps, dtype=np.uint64))
-            value = np.where(hit, delta[at] * k, 0.0)
-            sums = np.bincount(doc.astype(np.int64), weights=value, minlength=len(rk))
-            yield pa.RecordBatch.from_arrays([pa.array(rk.view(np.int64)), pa.array(sums)], names=["rk", "score"])
+    types = [pa.int64(), id_arrow, *[pa.int64()] * 4, pa.float64(), pa.float64()]
+    names = ["rk", "doc_id", "w", "k", "n_tokens", "n_known", "base", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[dict[int, list[bytes]], dict[int, list[bytes]]] = ({}, {})
+        for batch in batches:
+            for shard, kind, block in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if kind == 2:
+                    yield from pa.ipc.open_stream(block)
+                else:
+                    held[kind].setdefault(shard, []).append(block)
+        docs, model = held
+        for shard, blocks in docs.items():
+            table = [_unpacked(b) for b in model.pop(shard, [])]
+            if not table:
+                continue
+            g = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in table])
+            delta = np.concatenate([x[1].astype("<u4").view("<i4") for x in table]) / FIXED
+            order = np.argsort(g, kind="stable")
+            g, delta = g[order], delta[order]
+            for block in blocks:
+                steps, doc, k, rk = _unpacked(block)
+                at, hit = _find(g, np.cumsum(steps, dtype=np.uint64))
+                sums = np.bincount(doc.astype(np.int64), weights=np.where(hit, delta[at] * k, 0.0), minlength=len(rk))
+                nulls = [pa.nulls(len(rk), t) for t in types[1:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(rk.view(np.int64)), *nulls, pa.array(sums)], names=names)
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -413,9 +416,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     g = pair_hash(hp.column("h").to_numpy().astype(np.int64), hp.column("w").to_numpy().astype(np.int64)) if hp.num_rows else np.zeros(0, np.int64)
     order = np.argsort(g, kind="stable")
     head = spark.sparkContext.broadcast((words, [g[order], hp.column("delta").to_numpy()[order] if hp.num_rows else np.zeros(0)]))
-    summed = C.settle(_gathered(docs, model, head, False), "katz-summed")
-    own = summed.filter("w is null").select("rk", "doc_id", "n_tokens", "n_known", "base", "score")
+    shards, id_type = C.shuffle_partitions(spark), docs.schema["doc_id"].dataType
+    with by_some_keys(spark):
+        seen = model.seen[0].unionByName(model.seen[1])
+        both = _gathered(docs, model, head, shards).unionByName(seen.mapInArrow(lambda batches: _model_blocks(batches, shards), BLOCKS))
+        schema = f"rk long, doc_id {id_type.simpleString()}, w long, k long, n_tokens long, n_known long, base double, score double"
+        summed = C.settle(both.repartition(shards, "shard").mapInArrow(_joined(to_arrow_type(id_type)), schema), "katz-summed")
+    release(spark)
+    own = summed.filter("n_tokens is not null").select("rk", "doc_id", "n_tokens", "n_known", "base", "score")
     rare = summed.filter("w is not null").select("rk", "w", "k").join(model.words.filter("c > 0").select("w", "c", "logp", "loga"), "w", "left")
+    found = summed.filter("n_tokens is null and w is null").groupBy("rk").agg(F.sum("score").alias("score"))
     unknown = F.lit(model.log_unknown)
     none = F.lit(None)
     rare = rare.groupBy("rk").agg(
@@ -423,14 +433,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("base"),
         F.sum(F.col("k") * (F.coalesce("logp", unknown) + F.coalesce("loga", F.lit(0.0)))).alias("score"),
     )
-    shards = C.shuffle_partitions(spark)
-    cold = _gathered(docs, model, head, True, shards)
-    with by_some_keys(spark):
-        seen = model.seen[0].unionByName(model.seen[1])
-        both = cold.unionByName(seen.mapInArrow(lambda batches: _model_blocks(batches, shards), BLOCKS)).repartition(shards, "shard")
-        found = both.mapInArrow(_joined, "rk long, score double").groupBy("rk").agg(F.sum("score").alias("score"))
-        found = C.settle(found, "katz-corrections")
-    release(spark)
     parts = own.select("rk", F.lit(1).alias("m"), "n_tokens", "n_known", "base", "score")
     parts = parts.unionByName(rare.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), "n_known", "base", "score"))
     parts = parts.unionByName(found.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), none.cast("long").alias("n_known"), none.cast("double").alias("base"), "score"))
