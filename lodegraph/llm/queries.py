@@ -88,4 +88,26 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
             sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
         from marked group by doc_id""",
+    "op5_quality_rules": f"""
+        with words as (select doc_id, lang, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+        windows as (select doc_id, i, list_slice(ws, i, i + 4) as g from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) as i from words where len(ws) >= 5)),
+        twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from windows) where c > 1),
+        covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + 4)) as p from twice) group by 1),
+        lined as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from words),
+        counts as (select l.doc_id, lang, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+            len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, len(regexp_extract_all(t, '!')) as n_marks, len(regexp_extract_all(t, '[A-Z]')) as n_capitals,
+            len(ls) as n_lines, len(list_filter(generate_series(1, len(ws) - 1), lambda i: ws[i] = ws[i + 1])) as n_adjacent
+            from lined l left join covered c using (doc_id)),
+        ratios as (select *, unnest([{", ".join(f"{{'rule': '{name}', 'x': case when {under} > 0 then (1000 * {over}) // {under} else 0 end}}" for name, over, under, _ in quality_rules.RULES)}], recursive := true) from counts),
+        cutoffs(rule, step, cutoff) as (values {", ".join(f"('{name}', {i}, {c})" for name, _, _, cs in quality_rules.RULES for i, c in enumerate(cs))}),
+        good as (select doc_id from labels where quality in (0, 1) group by doc_id having min(quality) = 1),
+        held as (select lang, rule, step, cutoff, count(*) as n, count(*) filter (x > cutoff) as k from ratios join good using (doc_id) join cutoffs using (rule) group by all),
+        tests as (select *, (select count(*) from (select distinct lang from held)) as strata from held),
+        tried as (select *, case when k > n * 0.01 then false else list_sum(list_transform(generate_series(0, k),
+            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) <= 0.05 / (6 * strata) end as ok from tests),
+        proven as (select lang, rule, min(cutoff) as cutoff from (select *, bool_and(ok) over (partition by lang, rule order by step) as every from tried) where every group by 1, 2),
+        failed as (select r.doc_id, bool_or(x > p.cutoff) as bad from ratios r join proven p on r.lang = p.lang and r.rule = p.rule group by 1)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+            not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(bad, false) as kept
+        from counts left join failed using (doc_id)""",
 }
