@@ -219,7 +219,7 @@ def fit(docs: DataFrame) -> Model:
     name = f"katz_pairs_{uuid.uuid4().hex}"
     # the rows already lie by the hash of h, as the buckets do: each task writes one of them
     known = pairs.join(F.broadcast(top.select("w", F.col("c").alias("cw"))), "w", "left").select("h", "w", "c", "cw")
-    known.write.bucketBy(parts, "h").sortBy("h", "w").saveAsTable(name, format="parquet")
+    known.write.option("compression", "zstd").bucketBy(parts, "h").sortBy("h", "w").saveAsTable(name, format="parquet")
     del pairs, known
     release(spark)
     table = spark.table(name)
@@ -241,6 +241,7 @@ def fit(docs: DataFrame) -> Model:
     model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None, name)
     model.head_pairs = corrections(_head(table, HEAD_PAIRS).filter("cw is not null").select("h", "w", "c", p1(F.col("cw")).alias("p")), histories, d2)
     rare = others.repartition(parts, "h")
+    C.discard(words)
     model.seen = [corrections(part, histories, d2) for part in (with_head, rare)]
     return model
 
@@ -248,7 +249,7 @@ def fit(docs: DataFrame) -> Model:
 def corrections(pairs: DataFrame, histories: DataFrame, d: np.ndarray) -> DataFrame:
     """``(h, w, delta)``: what a seen pair adds to its document's sum of ``log P(w) + log alpha(h)``."""
     kept = F.when(F.col("half"), F.col("c") - 0.5).otherwise(_discount(F.col("c"), d) * F.col("c"))
-    return pairs.join(histories, "h").select("h", "w", (F.log10(kept / F.col("ch")) - F.log10("p") - F.col("loga")).alias("delta"))
+    return pairs.join(histories.hint("shuffle_hash"), "h").select("h", "w", (F.log10(kept / F.col("ch")) - F.log10("p") - F.col("loga")).alias("delta"))
 
 
 @contextmanager
@@ -295,7 +296,11 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
         h[starts] = START
         doc = np.repeat(np.arange(len(held)), lengths)
         (wk, wc, wp, wa), (pk, pd_) = head.value
-        in_pairs, pair_hit = _find(pk, pair_hash(h, w))
+        g = pair_hash(h, w)
+        by_pair = np.argsort(g, kind="stable")  # a document's tokens stay in order within a pair
+        in_sorted, hit_sorted = _find(pk, g[by_pair])
+        in_pairs, pair_hit = np.empty_like(in_sorted), np.empty_like(hit_sorted)
+        in_pairs[by_pair], pair_hit[by_pair] = in_sorted, hit_sorted
         at, hit = _find(wk, w)
         count = np.where(hit, wc[at] if len(wc) else 0, 0)
         # as a token and, but for the end, as a history; the start symbol is a history once a document
@@ -319,10 +324,12 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
              none(lengths, pa.int64()), none(sums((count > 0).astype(np.int64)), pa.int64()), none(sums(base), pa.float64()), none(sums(value) + start_loga, pa.float64())],
             names=["rk", "doc_id", "w", "k", "n_tokens", "n_known", "base", "score"],
         )
-        rest = np.flatnonzero(~pair_hit)
-        g, doc = pair_hash(h[rest], w[rest]).view(np.uint64), doc[rest]
-        order = np.lexsort((doc, g))
-        g, doc = g[order], doc[order]
+        rest = by_pair[~hit_sorted]
+        g, doc = g[rest], doc[rest]
+        if len(g):  # signed order to unsigned: the negative half comes last
+            turn = np.searchsorted(g, 0)
+            g, doc = np.roll(g, -turn), np.roll(doc, -turn)
+        g = g.view(np.uint64)
         new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
         return blocks(g[new], doc[new], np.diff(np.append(new, len(g))), keys, sums_of)
 
@@ -416,7 +423,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     g = pair_hash(hp.column("h").to_numpy().astype(np.int64), hp.column("w").to_numpy().astype(np.int64)) if hp.num_rows else np.zeros(0, np.int64)
     order = np.argsort(g, kind="stable")
     head = spark.sparkContext.broadcast((words, [g[order], hp.column("delta").to_numpy()[order] if hp.num_rows else np.zeros(0)]))
-    shards, id_type = C.shuffle_partitions(spark), docs.schema["doc_id"].dataType
+    # a document has a row of sums for each range that holds pairs of it: ranges as large as a task can hold
+    shards, id_type = max(1, C.shuffle_partitions(spark) // 3), docs.schema["doc_id"].dataType
     with by_some_keys(spark):
         seen = model.seen[0].unionByName(model.seen[1])
         both = _gathered(docs, model, head, shards).unionByName(seen.mapInArrow(lambda batches: _model_blocks(batches, shards), BLOCKS))
