@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_tables import ring_graph, star_graph
+from .catalog_tables import opened, ring_graph
 from .session import Session
 
 #: Name: (query, SQL, parameters, extended).
@@ -153,39 +153,39 @@ _add("x_varlen", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) WHERE c.
 
 
 def _cypher(text: str, params: dict, extended: bool) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Session(star_graph(spark, sf_dir), extended).query(text, params)
+    return lambda spark, sf_dir: Session(opened(spark, sf_dir), extended).query(text, params)
 
 
 def api_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = opened(spark, sf_dir)
     return g.out_degree("PLACED").select((F.col("id") - F.lit(g.base("Customer"))).alias("c_custkey"), F.col("degree").alias("n"))
 
 
 def api_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = opened(spark, sf_dir)
     return g.in_degree("IN_REGION").select((F.col("id") - F.lit(g.base("Region"))).alias("r_regionkey"), F.col("degree").alias("n"))
 
 
 def api_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_graph(spark, sf_dir).all_nodes().groupBy(F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return opened(spark, sf_dir).all_nodes().groupBy(F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def api_edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_graph(spark, sf_dir).neighbors().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return opened(spark, sf_dir).neighbors().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def api_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = opened(spark, sf_dir)
     return g.neighbors(g.base("Customer") + 7, "PLACED").select((F.col("dst") - F.lit(g.base("Order"))).alias("o_orderkey"))
 
 
 def api_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
+    g = opened(spark, sf_dir)
     return g.incoming_neighbors(g.base("Nation") + 3, "FROM_NATION").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def api_property_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_graph(spark, sf_dir).nodes_with_label_and_property("Customer", "c_mktsegment", "BUILDING").select("c_name")
+    return opened(spark, sf_dir).nodes_with_label_and_property("Customer", "c_mktsegment", "BUILDING").select("c_name")
 
 
 def ring_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
