@@ -31,11 +31,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id.
+    """One document of each group of near-duplicates, 0.8 alike or more, stays: the one with the smallest id.
 
     Of rows that share an id (or have none) and the text, one stays.
     """
-    found = C.settle(minhash.near_duplicates(docs, percent=85), "pipeline-classes")
+    found = C.settle(minhash.near_duplicates(docs, percent=80), "pipeline-classes")
     gone = C.small(found.filter(~F.col("kept")).select("doc_id").distinct())
     docs = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = C.settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")

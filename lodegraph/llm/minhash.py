@@ -17,6 +17,8 @@ left out at every step, which no link is.  No bucket, partner or candidate is ca
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +29,30 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SHINGLE = 5
-BANDS, ROWS = 21, 6
-BINS = BANDS * ROWS
+ROWS = 6
+#: The chance that no band finds a pair at the threshold is at most this.
+MISSED = 5e-5
 PROBES = 64
 
 
-def _probes() -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The fewest bands that miss a pair at the threshold with a chance of at most ``MISSED``: 21 at 85, 33 at 80."""
+    return max(1, ceil(log(MISSED) / log(1 - (percent / 100) ** ROWS))) if percent < 100 else 1
+
+
+@cache
+def _probes(bins: int) -> np.ndarray:
     """For each bin the order in which it probes others, from a 2-universal family of hashes."""
-    i, t = np.meshgrid(np.arange(BINS, dtype=np.uint64), np.arange(1, PROBES + 1, dtype=np.uint64), indexing="ij")
-    return (C.mix64(i * np.uint64(0x9E3779B97F4A7C15) + t * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(BINS)).astype(np.int64)
+    i, t = np.meshgrid(np.arange(bins, dtype=np.uint64), np.arange(1, PROBES + 1, dtype=np.uint64), indexing="ij")
+    return (C.mix64(i * np.uint64(0x9E3779B97F4A7C15) + t * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(bins)).astype(np.int64)
+
+
+@cache
+def _cuts(bins: int) -> np.ndarray:
+    return np.array([-(-(k << 64) // bins) for k in range(1, bins)], np.uint64)
 
 
-PROBE_ORDER = _probes()
-_CUTS = np.array([-(-(k << 64) // BINS) for k in range(1, BINS)], np.uint64)
 _SALTS = C.mix64(np.arange(1, ROWS + 1, dtype=np.uint64))
-_BAND_SALTS = C.mix64(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -57,16 +68,16 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(C.mix64(total))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The densified bin minima of a sorted, non-empty set."""
-    edges = np.concatenate([[0], np.searchsorted(hashes, _CUTS)])
+def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
+    """The densified minima of ``bins`` bins of a sorted, non-empty set."""
+    edges = np.concatenate([[0], np.searchsorted(hashes, _cuts(bins))])
     full = np.append(edges[1:], len(hashes)) > edges
-    at = np.arange(BINS)
+    at = np.arange(bins)
     empty = np.flatnonzero(~full)
     for t in range(PROBES):
         if not len(empty):
             break
-        target = PROBE_ORDER[empty, t]
+        target = _probes(bins)[empty, t]
         hit = full[target]
         at[empty[hit]] = target[hit]
         empty = empty[~hit]
@@ -76,17 +87,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return hashes[edges[at]]
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    sig = signature(hashes).reshape(BANDS, ROWS)
-    return C.mix64(C.mix64(sig + _SALTS).sum(1, dtype=np.uint64) ^ _BAND_SALTS).view(np.int64)
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    sig = signature(hashes, bands * ROWS).reshape(bands, ROWS)
+    return C.mix64(C.mix64(sig + _SALTS).sum(1, dtype=np.uint64) ^ C.mix64(np.arange(101, 101 + bands, dtype=np.uint64))).view(np.int64)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """``(doc_id, rk, n, fp, bands)``: set size, set fingerprint and band keys; ``rk`` finds the row again."""
+def profiles(docs: DataFrame, n_bands: int) -> DataFrame:
+    """``(doc_id, rk, n, fp, bands)``: set size, set fingerprint and ``n_bands`` band keys; ``rk`` finds the row again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +106,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 hashes = shingle_set(text)
                 n.append(len(hashes))
                 fp.append(fingerprint(hashes))
-                bands.append(band_keys(hashes) if len(hashes) else None)
+                bands.append(band_keys(hashes, n_bands) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "rk", "n", "fp", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
@@ -175,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, rounds: int = 1, max_bro
     its text and never is a smallest id; a component of null ids alone has a null id and keeps them.
     Other columns of ``docs`` are not read.
     """
-    profile = C.settle(profiles(docs), "minhash-profiles")
+    profile = C.settle(profiles(docs, bands_for(percent)), "minhash-profiles")
     nodes = C.settle(profile.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("min_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-nodes")
     buckets = nodes.select("fp", "n", "rk", F.posexplode("bands").alias("band", "bk"))
     crowded = buckets.groupBy("bk").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
