@@ -3,14 +3,14 @@
 Base spans come from exact patterns.  The field then labels what the patterns leave: its
 nodes are a document's base spans (whose labels are evidence) and every other word with
 a digit or ``@``.  Node potentials are linear in hashed shape and context features; a chain
-edge joins nodes that stand close together, and a *skip* edge joins distant nodes whose
-text repeats or whose digits end alike, however far apart they are.  Both edges carry a
-learned table of label agreement.  Loopy sum-product message passing over the whole
-document makes marginals, so that one clear mention settles its repetitions.  Nodes whose
+edge joins nodes that stand close together, and *skip* edges join all nodes whose
+text repeats or whose digits end alike, however far apart they are, to one hub.  Both edges
+carry a learned table of label agreement.  Loopy sum-product message passing over the whole
+document, until no message changes, makes marginals, so that one clear mention settles its repetitions.  Nodes whose
 marginal for an entity label reaches ``certainty`` become added spans.
 
 Weights are learned on a bounded sample, with the base patterns and assignments of long
-keys as labels.  Repetitions are linked in a chain, so edges are linear in the nodes.
+keys as labels.  Repetitions are linked as a star, so edges are linear in the nodes.
 """
 
 from __future__ import annotations
@@ -130,31 +130,52 @@ def features(node: Node) -> list[int]:
     letters = sum(c.isalpha() for c in t)
     shape = re.sub(r"x{2,}", "x+", re.sub(r"d{2,}", "d+", re.sub(r"[^\W\d_]", "x", re.sub(r"[0-9]", "d", t[:40]))))
     words = re.findall(r"[^\W_]+|[=:]", node.before)[-2:]
+    if not t:
+        return []
     names = ["bias", "shape " + shape, f"digits {min(len(digits), 20)}", f"length {min(len(t) // 4, 12)}", f"@ {t.count('@')}", f"dots {min(t.count('.'), 4)}", f"plus {t[:1] == '+'}", f"paren {'(' in t}"]
     names += ["hex" if len(t) >= 20 and re.fullmatch(r"[0-9a-fA-F]+", t) else "", "luhn" if 12 <= len(digits) <= 19 and letters == 0 and luhn(digits) else "", f"letters {min(letters // 4, 6)}"]
     names += ["before " + w for w in words if len(words) < 2 or w in "=:" or w in ("token", "key", "secret", "password", "passwd", "mail", "tel", "phone", "card", "call")]
     return [_bucket(n) for n in names if n]
 
 
-def edges_of(nodes: list[Node], near: int = 40) -> list[tuple[int, int, int]]:
-    """``(i, j, kind)``: 0 chain, 1 skip.  A repetition links to the one before it."""
-    out, last = [], {}
+def chain_of(nodes: list[Node], near: int = 40) -> list[tuple[int, int]]:
+    return [(j - 1, j) for j in range(1, len(nodes)) if nodes[j].start - nodes[j - 1].end <= near]
+
+
+def groups_of(nodes: list[Node]) -> list[list[int]]:
+    """Nodes that repeat each other: the last seven digits are equal, or the text of those with fewer digits."""
+    by: dict[tuple[str, str], list[int]] = {}
     for j, node in enumerate(nodes):
-        if j and node.start - nodes[j - 1].end <= near:
-            out.append((j - 1, j, 0))
         digits = _NOT_DIGIT.sub("", node.text)
-        keys = {("text", node.text.lower())} | ({("end", digits[-7:])} if len(digits) >= 7 else set())
-        linked = {last[k] for k in keys if k in last}
-        out += [(i, j, 1) for i in sorted(linked)]
-        for k in keys:
-            last[k] = j
-    return out
+        by.setdefault(("end", digits[-7:]) if len(digits) >= 7 else ("text", node.text.lower()), []).append(j)
+    return [g for g in by.values() if len(g) > 1]
+
+
+def linked(nodes: list[Node]) -> tuple[list[Node], list[tuple[int, int, int]]]:
+    """The nodes with their hubs behind them, and ``(i, j, kind)``: 0 chain, 1 skip to a known hub, 2 skip to an open one.
+
+    A hub has an empty text.  It is known where the group's base spans all have one label: it stands for these
+    clear mentions, and open nodes can't outvote them.
+    """
+    every, out = list(nodes), [(i, j, 0) for i, j in chain_of(nodes)]
+    for group in groups_of(nodes):
+        told = {nodes[i].label for i in group if nodes[i].label >= 0}
+        label = told.pop() if len(told) == 1 else -1
+        out += [(i, len(every), 1 if label >= 0 else 2) for i in group if label < 0 or nodes[i].label < 0]
+        every.append(Node(0, 0, "", label, ""))
+    return every, out
 
 
 @dataclass
 class Field:
     weights: np.ndarray  # features x labels
-    edges: np.ndarray  # kind x labels x labels, log potentials
+    edges: np.ndarray  # kind (chain, known hub, open hub) x labels x labels, log potentials
+
+
+def skip_tables(weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """To a known hub, and to an open one: two edges over that make the one table between its nodes."""
+    n, x = len(LABELS), np.expm1(weight)
+    return np.eye(n) * weight, np.eye(n) * np.log1p(x + np.sqrt(x * x + n * x))
 
 
 def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Field:
@@ -172,7 +193,9 @@ def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float =
         own = [y or known.get(n.text.lower(), 0) for n, y in zip(nodes, own, strict=True)]
         rows += [features(n) for n in nodes]
         labels += own
-        for i, j, kind in edges_of(nodes):
+        # of a group, how often a repetition agrees with the one before it
+        skips = [(i, j, 1) for g in groups_of(nodes) for i, j in zip(g, g[1:])]
+        for i, j, kind in [*((i, j, 0) for i, j in chain_of(nodes)), *skips]:
             pairs[kind, own[i], own[j]] += 1
             pairs[kind, own[j], own[i]] += 1
         for y in own:
@@ -196,12 +219,15 @@ def train(texts: list[str], rounds: int = 200, rate: float = 0.5, decay: float =
     # repetitions: one weight for agreement, from how often they agree; five and one are its prior counts
     agree = np.trace(pairs[1]) - 0.5 * n_labels + 5
     differ = pairs[1].sum() - np.trace(pairs[1]) - 0.5 * n_labels * (n_labels - 1) + 1
-    table[1] = np.eye(n_labels) * np.clip(np.log(agree / differ), 0, 4)
-    return Field(weights, table)
+    return Field(weights, np.stack([table[0], *skip_tables(np.clip(np.log(agree / differ), 0, 4))]))
 
 
-def marginals(field: Field, nodes: list[Node], edges: np.ndarray, sweeps: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Loopy belief propagation over any number of documents at once; ``edges``: rows ``(i, j, kind)``."""
+def marginals(field: Field, nodes: list[Node], edges: np.ndarray, owner: np.ndarray, tolerance: float = 1e-5) -> np.ndarray:
+    """Loopy belief propagation over any number of documents at once; ``edges``: rows ``(i, j, kind)``, ``owner``: each node's document.
+
+    A document is swept until none of its messages changes by more than ``tolerance``, whatever lies beside it.
+    Where messages swing, the step is cut by a tenth after each hundred sweeps, so that they settle.
+    """
     n, n_labels = len(nodes), len(LABELS)
     score = np.zeros((n, n_labels))
     for i, node in enumerate(nodes):
@@ -213,17 +239,22 @@ def marginals(field: Field, nodes: list[Node], edges: np.ndarray, sweeps: int =
     if len(edges):
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
+        kind = np.concatenate([edges[:, 2], edges[:, 2]])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        table = field.edges[np.concatenate([edges[:, 2], edges[:, 2]])]
         messages = np.zeros((len(source), n_labels))
-        for _ in range(sweeps):
+        live, doc, sweep = np.arange(len(source)), owner[source], 0
+        while len(live):
+            step = 0.7 * 0.9 ** (sweep // 100)
             belief = score.copy()
-            np.add.at(belief, target, messages)
-            out = (belief[source] - messages[back])[:, :, None] + table
+            np.add.at(belief, target[live], messages[live])
+            out = (belief[source[live]] - messages[back[live]])[:, :, None] + field.edges[kind[live]]
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            messages = damping * messages + (1 - damping) * new
+            change = step * (new - messages[live])
+            messages[live] += change
+            moved = np.unique(doc[live][np.abs(change).max(1) > tolerance])
+            live, sweep = live[np.isin(doc[live], moved)], sweep + 1
         np.add.at(score, target, messages)
     score -= score.max(1, keepdims=True)
     p = np.exp(score)
@@ -260,15 +291,16 @@ def find(docs: DataFrame, max_train_rows: int = 5000, certainty: float = 0.9, fi
                 own = nodes_of(text, spans)
                 base.append(spans)
                 if any(n.label < 0 for n in own):
-                    edges += [(i + len(nodes), j + len(nodes), k) for i, j, k in edges_of(own)]
+                    own, links = linked(own)
+                    edges += [(i + len(nodes), j + len(nodes), k) for i, j, k in links]
                     nodes += own
                     owner += [row] * len(own)
             every = [list(s) for s in base]
             if nodes:
-                p = marginals(sent.value, nodes, np.array(edges, np.int64).reshape(-1, 3))
+                p = marginals(sent.value, nodes, np.array(edges, np.int64).reshape(-1, 3), np.array(owner))
                 best = p.argmax(1)
                 for i in np.flatnonzero((best > 0) & (p.max(1) >= certainty)).tolist():
-                    if nodes[i].label < 0:
+                    if nodes[i].label < 0 and nodes[i].text:
                         every[owner[i]].append((int(best[i]) - 1, nodes[i].start, nodes[i].end))
             told = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in sorted(spans, key=lambda x: (x[1], x[0], x[2]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([told(s) for s in base], kind), pa.array([told(s) for s in every], kind)], names=["doc_id", "base_spans", "spans"])
