@@ -141,6 +141,8 @@ _add("x_distinct", "MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS s", "se
 _add("x_order", "MATCH (c:Customer) RETURN c.c_name AS c_name, c.c_acctbal AS b ORDER BY b DESC SKIP 3 LIMIT 5", "select c_name, c_acctbal b from customer order by b desc limit 5 offset 3", extended=True)
 _add("x_with", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(*) AS k WHERE k >= 15 MATCH (c)-[:FROM_NATION]->(n) RETURN n.n_name AS n_name, k", "select n_name, k from (select o_custkey, count(*) k from orders group by 1 having count(*) >= 15) join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", extended=True)
 _add("x_optional", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE c.c_custkey < 50 RETURN c.c_custkey AS c, o.o_orderkey AS o", "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey where c_custkey < 50", extended=True)
+_add("x_optional_all", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order {o_orderstatus: 'F'}) RETURN c.c_custkey AS c, o.o_orderkey AS o",
+     "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F'", extended=True)
 _add("x_exists", "MATCH (s:Supplier) WHERE EXISTS { MATCH (s)-[:FROM_NATION]->(n:Nation) WHERE n.n_nationkey < 5 } RETURN s.s_name AS s_name", "select s_name from supplier where s_nationkey < 5", extended=True)
 _add("x_not_exists", "MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order) RETURN c.c_name AS c_name", "select c_name from customer where c_custkey not in (select o_custkey from orders)", extended=True)
 _add("x_unwind", "UNWIND range(1, 5) AS i MATCH (n:Nation) WHERE n.n_nationkey = i RETURN i, n.n_name AS n_name", "select cast(n_nationkey as bigint) i, n_name from nation where n_nationkey between 1 and 5", extended=True)
@@ -150,6 +152,9 @@ _add("x_comprehension", "MATCH (p:Part) RETURN [w IN split(p.p_name, ' ') WHERE
 _add("x_varlen", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) WHERE c.c_custkey < 100 RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
      """select c_custkey c, n_name n, null as r from customer join nation on c_nationkey = n_nationkey where c_custkey < 100
      union all select c_custkey, null, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey < 100""", extended=True)
+_add("x_varlen_all", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
+     """select c_custkey c, n_name n, null as r from customer join nation on c_nationkey = n_nationkey
+     union all select c_custkey, null, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""", extended=True)
 
 
 def _cypher(text: str, params: dict, extended: bool) -> Callable[[SparkSession, str], DataFrame]:
