@@ -20,9 +20,7 @@ from ..operators.expressions import AGGREGATES, Compiler, Entity, Scope, ref
 from ..operators.values import BOOL, FLOAT, INT, Type, Value, list_of
 from ..functions import temporal
 from ..sources.catalog import Graph, merged_props
-
-#: Hops of a relationship pattern without an upper bound.
-MAX_HOPS = 8
+from ..sources.files import scratch_path
 
 
 def walk(node: object):
@@ -36,6 +34,14 @@ def walk(node: object):
             yield from walk(getattr(node, f.name))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that the plan of a loop doesn't grow."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def used_properties(query: object) -> dict[str, set[str] | None]:
     """The property keys read of each variable; None where the whole entity is."""
     out: dict[str, set[str] | None] = {}
@@ -312,9 +318,10 @@ class Planner:
     def expand_many(self, state: State, rel: A.RelPattern, here: str, there: str, node: A.NodePattern, backward: bool) -> State:
         """Bounded unrolling: one branch for each number of hops, no relationship twice in a path."""
         low, high = rel.hops
-        high = MAX_HOPS if high is None else high
         if rel.var:
             raise outside("a variable for a variable-length relationship")
+        if high is None:
+            return self.expand_all(state, rel, here, there, node, backward)
         branches = []
         for n in range(low, high + 1):
             sub = State(state.df, state.scope.copy(), list(state.order), list(state.steps))
@@ -347,6 +354,40 @@ class Planner:
         scope.entities[there] = entity
         return State(out, scope, [*state.order, entity.column("id")], [*state.steps, f"ExpandMany({here}-[*{low}..{high}]-{there})"])
 
+    def expand_all(self, state: State, rel: A.RelPattern, here: str, there: str, node: A.NodePattern, backward: bool) -> State:
+        """No upper bound: hop after hop, each checkpointed, until one adds no path.
+
+        A path takes a relationship once, so the rounds end on every graph.
+        """
+        kept, low, cur = list(state.df.columns), rel.hops[0], self.fresh()
+        at, path = f"{cur}|at", f"{cur}|path"
+        entity = Entity("node", cur, {})
+        scope = state.scope.copy()
+        scope.entities[cur] = entity
+        none = F.array().cast("array<struct<src:bigint,type:string,dst:bigint>>")
+        paths = state.df.select(*map(ref, kept), ref(state.scope.entities[here].column("id")).alias(entity.column("id")), none.alias(path))
+        found, n = None, 0
+        while True:
+            if n >= low:
+                rows = paths.select(*map(ref, kept), ref(entity.column("id")).alias(at))
+                found = rows if found is None else found.unionByName(rows)
+            chain: list = []
+            nxt = self.fresh()
+            hop = self.expand(State(paths, scope.copy(), [], []), A.RelPattern(None, rel.types, rel.props, rel.direction), cur, nxt, A.NodePattern(None, (), ()), backward, chain)
+            edge = hop.scope.entities[chain[-1][0]]
+            src, kind, dst = (ref(edge.column(c)) for c in ("src", "type", "dst"))
+            step = F.struct(src.alias("src"), kind.alias("type"), dst.alias("dst"))
+            again = F.array_contains(ref(path), step)
+            longer = F.concat(ref(path), F.array(step)).alias(path)
+            far = ref(hop.scope.entities[nxt].column("id")).alias(entity.column("id"))
+            paths, n = checkpointed(hop.df.filter(~again).select(*map(ref, kept), far, longer)), n + 1
+            if paths.isEmpty():
+                break
+        if found is None:
+            found = paths.select(*map(ref, kept), ref(entity.column("id")).alias(at))
+        out = self.arrive(State(found, state.scope, state.order, state.steps), at, there, node, {t.labels for t in self.graph.nodes})
+        return State(out.df.drop(at), out.scope, [*state.order, out.scope.entities[there].column("id")], [*state.steps, f"ExpandAll({here}-[*{low}..]-{there})"])
+
     def optional(self, state: State, clause: A.Match) -> State:
         """OPTIONAL MATCH: the pattern's rows, or one with nulls."""
         if state.df is None:
