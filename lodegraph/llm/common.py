@@ -105,6 +105,17 @@ def to_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def stretches(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Bounds of stretches of rows whose ``sizes`` add up to ``most`` at most; a larger row is one by itself."""
+    out, lo, total = [], 0, 0
+    for k, size in enumerate(sizes):
+        if k > lo and total + size > most:
+            out.append((lo, k))
+            lo, total = k, 0
+        total += size
+    return [*out, (lo, len(sizes))] if len(sizes) else out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose output bits all depend on all input bits."""
     x = x.astype(np.uint64, copy=True)

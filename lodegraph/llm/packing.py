@@ -16,10 +16,11 @@ counts of the partitions before), and a piece's number gives its window and its
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,14 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-#: Words a worker remembers the ids of before it starts anew, and bits of the table of words met once.
-CACHE_WORDS, MET_BITS = 500_000, 22
-#: ASCII punctuation but the apostrophe, which may belong to the token of what follows it.
-ENDS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+#: Words a worker remembers the ids of, and bytes of text encoded at once (a longer text is encoded by itself).
+CACHE_WORDS, GROUP_BYTES = 500_000, 1 << 18
+#: Latin and Cyrillic letters that stay one letter when they are lower-cased, as old as any Unicode tables that a tokenizer
+#: may know, and ASCII punctuation but the apostrophe, which may belong to the piece of what follows it.
+LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u021f\u0400-\u0481\u048a-\u04ce\u04d0-\u04f5"
+MARKS = re.escape("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39))
+_PLAIN = re.compile(f"[{LETTERS}0-9{MARKS}]+").fullmatch
+_PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+").findall
 
 
 def default_tokenizer() -> str:
@@ -43,102 +48,133 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` file whose pre-tokenizer drops white space.
-
-    Such a tokenizer never joins characters across ASCII white space, so a text's ids are
-    those of its words in turn, and each distinct word is encoded once while it is
-    remembered.  A word is remembered when it is met the second time, as most words of a
-    large corpus are rare.  Letters ``A-Z`` are lower-cased first, as the file's normaliser does.
+    """Ids of whole texts by a ``tokenizers`` file that drops white space and closes each of its pieces by an ending.
+
+    Such a tokenizer never joins characters across ASCII white space, so a text's ids are those of its
+    words in turn, and a word is encoded once while it is remembered.  A new word made of
+    :data:`LETTERS`, digits and :data:`MARKS` alone is cut into the tokenizer's own pieces - a run of letters, one digit, a run
+    of marks - which are shared between words; its other words (apostrophes, other scripts, letters that
+    grow when they are lower-cased) go to the tokenizer whole.  ``A-Z`` are lower-cased first, as the
+    file's normaliser does.  Beyond ``CACHE_WORDS`` the words met most often stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-        self.met = bytearray(1 << MET_BITS)
-
-    def _store(self, word: bytes, ids: np.ndarray) -> None:
-        code = len(self.codes)
-        if code == len(self.start):
-            self.start, self.length = np.concatenate([self.start] * 2), np.concatenate([self.length] * 2)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat] * 2)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[code], self.length[code] = self.used, len(ids)
-        self.used += len(ids)
-        self.codes[word] = code
-
-    def _miss(self, words: list[bytes], at: np.ndarray) -> None:
-        """Encode the words whose code is -1; those not remembered get codes that hold until the next call."""
-        where = np.flatnonzero(at < 0).tolist()
-        rest: dict[bytes, int] = {}
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for k in where:
-            word = words[k]
-            if word not in rest and word not in parts:
-                core = word.rstrip(ENDS)
-                # Punctuation after a letter: a token boundary lies between them.
-                if core and core != word and (97 <= core[-1] <= 122 or core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha()):
-                    parts[word] = core, end = core, word[len(core) :]
-                    for x in (core, end):
-                        if x not in self.codes:
-                            rest.setdefault(x, len(rest))
-                else:
-                    rest[word] = len(rest)
-        found: list[np.ndarray] = []
-        if rest:
-            encoding = self.tokenizer.encode([w.decode("utf-8", "replace") for w in rest], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoding.ids, np.uint32)
-            cuts = np.searchsorted(np.array(encoding.word_ids, np.int64), np.arange(len(rest) + 1)).tolist()
-            found = [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
-
-        def ids_of(word: bytes) -> np.ndarray:
-            code = self.codes.get(word)
-            return found[rest[word]] if code is None else self.flat[self.start[code] : self.start[code] + self.length[code]]
-
-        new = {w: found[k] for w, k in rest.items()} | {w: np.concatenate([ids_of(a), ids_of(b)]) for w, (a, b) in parts.items()}
-        met, size = self.met, len(self.met)
-        for word, own in new.items():
-            slot = hash(word) % size
-            if met[slot]:
-                self._store(word, own)
-            met[slot] = 1
-        base = self.used
-        once = [w for w in new if w not in self.codes]
-        lengths = np.array([len(new[w]) for w in once], np.int64)
-        total = int(lengths.sum())
-        while base + total > len(self.flat):
-            self.flat = np.concatenate([self.flat] * 2)
-        if total:
-            self.flat[base : base + total] = np.concatenate([new[w] for w in once])
-        n = len(self.codes)
-        while n + len(once) > len(self.start):
-            self.start, self.length = np.concatenate([self.start] * 2), np.concatenate([self.length] * 2)
-        self.start[n : n + len(once)], self.length[n : n + len(once)] = base + np.cumsum(lengths) - lengths, lengths
-        code_of = {w: n + k for k, w in enumerate(once)} | {w: self.codes[w] for w in new if w in self.codes}
-        at[where] = [code_of[words[k]] for k in where]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        raw = C.to_bytes(text)
-        if b"<|" in raw:  # the strings of special tokens: leave them to the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = raw.lower().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        if len(self.codes) > CACHE_WORDS:
-            self.clear()
-        at = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
-        if at.min() < 0:
-            self._miss(words, at)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.codes: dict[bytes | str, int] = {}
+        self.start, self.length, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.flat, self.used, self.n = np.zeros(1 << 14, np.uint32), 0, 0
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Add sequences of ids, end to end, and return the first one's code."""
+        first, n, total = self.n, len(lengths), len(ids)
+        while first + n > len(self.start):
+            self.start, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.hits))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = ids
+        self.start[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + n] = lengths
+        self.hits[first : first + n] = 0
+        self.used, self.n = self.used + total, first + n
+        return first
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the sequences ``at``, end to end, and how many each has."""
         lengths = self.length[at]
         ends = np.cumsum(lengths)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + lengths, lengths)]
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + lengths, lengths)], lengths
+
+    def _encoded(self, words: list[str], single: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of ``words``; ``single``: each should be one piece, told apart by the pieces' endings."""
+        if single:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _learn(self, words: dict[bytes, None]) -> None:
+        """Encode and remember words that are not remembered yet."""
+        codes, plain, whole, pieces, sizes = self.codes, [], [], [], []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if _PLAIN(text):
+                own = _PIECES(text)
+                plain.append(word)
+                pieces += own
+                sizes.append(len(own))
+            else:
+                whole.append(word)
+        fresh = [x for x in dict.fromkeys(pieces) if x not in codes]
+        for texts, keys, single in ((fresh, fresh, True), ([w.decode("utf-8", "replace") for w in whole], whole, False)):
+            if texts:
+                first = self._append(*self._encoded(texts, single))
+                codes.update(zip(keys, range(first, self.n), strict=True))
+        if plain:
+            at = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
+            self.hits += np.bincount(at, minlength=len(self.hits))
+            count = np.array(sizes)
+            begin = np.cumsum(count) - count
+            several = count > 1
+            code = at[begin]
+            if several.any():
+                ids, lengths = self._gather(at[np.repeat(several, count)])
+                lengths = np.add.reduceat(lengths, np.cumsum(count[several]) - count[several])
+                code[several] = np.arange(len(lengths)) + self._append(ids, lengths)
+            codes.update(zip(plain, code.tolist(), strict=True))
+
+    def _forget(self) -> None:
+        """Keep the half of the words met most often, and halve what is known of how often."""
+        words = list(self.codes)
+        at = np.fromiter(self.codes.values(), np.int64, len(words))
+        stay = np.sort(np.argsort(-self.hits[at], kind="stable")[: CACHE_WORDS // 2])
+        ids, lengths = self._gather(at[stay])
+        hits = self.hits[at[stay]] // 2
+        self.used = self.n = 0
+        self._append(ids, lengths)
+        self.hits[: self.n] = hits
+        self.codes = {words[k]: code for code, k in enumerate(stay.tolist())}
+
+    def encode_all(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, end to end, each closed by ``end_id`` if one is given, and how many each has."""
+        if len(self.codes) > CACHE_WORDS:
+            self._forget()
+        words, counts, special = [], [], {}
+        for row, text in enumerate(texts):
+            raw = C.to_bytes(text)
+            if b"<|" in raw:  # the strings of special tokens: leave them to the tokenizer
+                special[row] = np.array(self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                counts.append(0)
+                continue
+            own = raw.lower().split()
+            words += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(at < 0).tolist()
+        if miss:
+            new = [words[k] for k in miss]
+            self._learn(dict.fromkeys(new))
+            at[miss] = np.fromiter(map(self.codes.__getitem__, new), np.int64, len(new))
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        ids, lengths = self._gather(at)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.array(counts, np.int64))]
+        sizes = np.diff(ends, prepend=0)
+        if special or end_id is not None:
+            tail = np.array([] if end_id is None else [end_id], np.uint32)
+            parts = np.split(ids, ends[:-1])
+            parts = [special.get(row, part) for row, part in enumerate(parts)]
+            sizes = np.array([len(p) + len(tail) for p in parts], np.int64)
+            ids = np.concatenate([x for p in parts for x in (p, tail)])
+        return ids, sizes
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -152,24 +188,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokenizer(tokenizer)
         for batch in batches:
-            rows, start, length, crc, total, ids_of = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(ids), capacity):
-                    piece = ids[at : at + capacity]
-                    rows.append(row)
-                    start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(ids))
-                    if with_ids:
-                        ids_of.append(piece.astype(np.int32))
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays.append(pa.array(ids_of, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in C.stretches([len(t or "") for t in texts], GROUP_BYTES):
+                ids, sizes = encoder.encode_all(texts[lo:hi], end_id)
+                ids = ids.astype("<u4", copy=False)
+                per = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), per)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * capacity
+                length = np.minimum(capacity, sizes[row] - start)
+                cuts = ((np.cumsum(sizes) - sizes)[row] + start).tolist()
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(cuts, length.tolist(), strict=True)]
+                arrays = [batch.column(0).take(pa.array(row + lo)), *(pa.array(x, pa.int64()) for x in (start, length, crc, sizes[row]))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(cuts, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
@@ -228,7 +262,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     offset`` and, ``with_ids``, the ``ids``.  A null or empty text is the end token alone.  Every row is
     a document of its own, whatever its id; a null id stays null.  Windows are padded to ``capacity`` at
     the end.  ``tokenizer``: path of a file for ``tokenizers`` that drops white space.  Other
-    columns of ``docs`` are not read.  No rows give no rows.
+    columns of ``docs`` are not read.  No rows give no rows.  A very long text is encoded whole, by itself, in the
+    memory of its ids.  Pieces of one length are interchangeable: which of them gets which window follows their
+    place in the stored pieces and is not defined beyond that.
     """
     spark = docs.sparkSession
     cut = pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, with_ids)

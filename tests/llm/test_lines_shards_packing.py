@@ -80,6 +80,25 @@ def test_words_are_encoded_as_whole_texts(spark):
         assert w.encode(t).tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(st.sampled_from("abzAZ019 \n\t'\"<>|.,;!?-#$%&()İıßÉéǅŉΣςσжЖй\u0306\u0308日本नाﬁ\u3000\xa0\u1c80½²ⅣɐӀӏ×÷ſ"), max_size=14), min_size=1, max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_any_texts_are_encoded_as_by_the_tokenizer(texts):
+    w = packing.word_tokenizer(packing.default_tokenizer())
+    ids, sizes = w.encode_all(texts, 2)
+    want = [[*w.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_forgetting_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    w = packing.WordTokenizer(packing.default_tokenizer())
+    for k in range(60):
+        text = " ".join(f"the wörd{i * k % 13}, İ<< it's" for i in range(k))
+        assert w.encode(text).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(w.codes) < 20 + 80
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 5), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_plans_place_everything_once(histogram):
