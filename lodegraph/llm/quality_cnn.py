@@ -1,13 +1,14 @@
 """A quality classifier: a small byte-level convolutional network in numpy.
 
 The whole document is covered by overlapping chunks of ``CHUNK`` bytes, half a chunk
-apart.  Learned filters of ``WIDTH`` bytes run over each chunk and are max-pooled; beside
-them stand the chunk's self-match rates (how many bytes equal the byte ``lag`` places
-before, for each lag), which tell repetition at the byte level.  A dense layer turns a
-chunk's features into hidden units, these are pooled over the document by maximum and by
-mean, and a logistic unit makes one probability of them.
+apart.  Learned filters of ``WIDTH`` bytes run over every position of each chunk and are
+max-pooled.  A dense layer turns a chunk's pooled responses into hidden units, these are pooled over the
+document by maximum and by mean, and a logistic unit makes one probability of them.
 
-Labels are learned from a bounded sample (``max_train_rows``) of the labelled rows outside
+A text's score depends on its bytes alone, to the last bit: no window reaches into another text of
+the batch, and sums run in one order whatever the batch holds.
+
+Labels are learned from a bounded sample (``max_train_rows``, ``max_train_bytes``) of the labelled rows outside
 the held-out fold; everything else runs over whole texts, one batch of rows at a time.
 """
 
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CHUNK, STRIDE, WIDTH, FILTERS, HIDDEN = 256, 2, 6, 12, 24
+CHUNK, WIDTH, FILTERS, HIDDEN = 256, 6, 12, 24
 HALF = CHUNK // 2
-LAGS = np.arange(2, 26)
-N_FEATURES = FILTERS + len(LAGS) + 1
 #: Bytes convolved at once.
 BLOCK = 1 << 19
 
@@ -46,7 +45,7 @@ class Network:
     def initial(rng: np.random.Generator) -> Network:
         normal = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
         return Network(
-            normal(WIDTH, 256, FILTERS, by=0.3), np.zeros(FILTERS, np.float32), normal(N_FEATURES, HIDDEN, by=1 / np.sqrt(N_FEATURES)),
+            normal(WIDTH, 256, FILTERS, by=0.3), np.zeros(FILTERS, np.float32), normal(FILTERS, HIDDEN, by=1 / np.sqrt(FILTERS)),
             np.zeros(HIDDEN, np.float32), normal(2 * HIDDEN, by=0.1), np.zeros(1, np.float32),
         )
 
@@ -55,8 +54,11 @@ class Network:
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts padded with zeros to whole half-chunks (two at least), end to end, and each one's first half-chunk."""
-    sizes = np.array([max(2, -(-len(t) // HALF)) for t in texts], np.int64)
+    """The texts padded with zeros to whole half-chunks (two at least), end to end, and each one's first half-chunk.
+
+    A window that begins within a text ends before the padding does.
+    """
+    sizes = np.array([max(2, -(-(len(t) + WIDTH - 1) // HALF)) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.zeros(starts[-1] * HALF, np.uint8)
     for text, at in zip(texts, (starts[:-1] * HALF).tolist(), strict=True):
@@ -64,8 +66,8 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, starts
 
 
-def _filters(net: Network, data: np.ndarray, argmax: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each half-chunk's largest response of each filter (and where it was)."""
+def _filters(net: Network, data: np.ndarray, starts: np.ndarray, argmax: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each half-chunk's largest response of each filter (and where it was); windows that leave their text's padding don't count."""
     n_half = len(data) // HALF
     padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     best = np.empty((n_half, FILTERS), np.float32)
@@ -73,64 +75,56 @@ def _filters(net: Network, data: np.ndarray, argmax: bool) -> tuple[np.ndarray,
     step = BLOCK // HALF
     for a in range(0, n_half, step):
         b = min(n_half, a + step)
-        at = slice(a * HALF, b * HALF, STRIDE)
-        total = net.taps[0].take(padded[at], axis=0)
+        total = net.taps[0].take(padded[a * HALF : b * HALF], axis=0)
         for j in range(1, WIDTH):
-            total += net.taps[j].take(padded[a * HALF + j : b * HALF + j : STRIDE], axis=0)
-        total = total.reshape(b - a, HALF // STRIDE, FILTERS)
+            total += net.taps[j].take(padded[a * HALF + j : b * HALF + j], axis=0)
+        total = total.reshape(b - a, HALF, FILTERS)
+        last = starts[1:][(starts[1:] > a) & (starts[1:] <= b)] - 1 - a
+        total[last, HALF - WIDTH + 1 :] = -np.inf
         if where is not None:
             where[a:b] = total.argmax(1)
         best[a:b] = total.max(1)
     return best + net.bias, where
 
 
-def _self_matches(data: np.ndarray) -> np.ndarray:
-    """For each half-chunk and lag, the share of its bytes that equal the byte ``lag`` places before."""
-    n_half = len(data) // HALF
-    out = np.empty((n_half, len(LAGS)), np.float32)
-    inked = data != 0
-    for k, lag in enumerate(LAGS.tolist()):
-        same = np.zeros(len(data), np.uint8)
-        np.equal(data[lag:], data[:-lag], out=same[lag:].view(bool))
-        same &= inked.view(np.uint8)
-        eights = same.view(np.uint64).reshape(n_half, HALF // 8).sum(1)  # each byte counts to at most HALF / 8
-        out[:, k] = np.ascontiguousarray(eights).view(np.uint8).reshape(n_half, 8).sum(1)
-    return out / HALF
-
-
 def features(net: Network, data: np.ndarray, starts: np.ndarray, argmax: bool = False):
     """Chunk features and each text's first chunk; a chunk is two half-chunks of one text."""
-    best, where = _filters(net, data, argmax)
-    match = _self_matches(data)
+    best, where = _filters(net, data, starts, argmax)
     last = np.zeros(len(best), bool)
     last[starts[1:] - 1] = True
     left = np.flatnonzero(~last)
     pooled = np.maximum(best[left], best[left + 1])
-    rates = (match[left] + match[left + 1]) / 2
     first = starts[:-1] - np.arange(len(starts) - 1)
-    x = np.concatenate([np.maximum(pooled, 0), 4 * rates, 4 * rates.max(1, keepdims=True)], axis=1)
     taken = None
     if where is not None:
         right = best[left + 1] > best[left]
-        taken = (np.where(right, left[:, None] + 1, left[:, None]) * HALF + STRIDE * np.where(right, where[left + 1], where[left]), pooled > 0)
-    return x, first, taken
+        taken = (np.where(right, left[:, None] + 1, left[:, None]) * HALF + np.where(right, where[left + 1], where[left]), pooled > 0)
+    return np.maximum(pooled, 0), first, taken
+
+
+def _hidden(net: Network, x: np.ndarray) -> np.ndarray:
+    """The dense layer, added up filter by filter: a matrix product may sum a row another way at another place."""
+    h = np.broadcast_to(net.dense_bias, (len(x), HIDDEN)).copy()
+    for k in range(FILTERS):
+        h += x[:, k : k + 1] * net.dense[k]
+    return np.maximum(h, 0)
 
 
 def forward(net: Network, texts: list[bytes]) -> np.ndarray:
     """The probability of label 1 for each text."""
     data, starts = laid_out(texts)
     x, first, _ = features(net, data, starts)
-    h = np.maximum(x @ net.dense + net.dense_bias, 0)
+    h = _hidden(net, x)
     counts = np.diff(np.append(first, len(h)))[:, None]
     pooled = np.concatenate([np.maximum.reduceat(h, first), np.add.reduceat(h, first) / counts], axis=1)
-    logit = (pooled @ net.out + net.out_bias[0]).astype(np.float64)
+    logit = ((pooled * net.out).sum(1) + net.out_bias[0]).astype(np.float64)
     return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
 def _gradients(net: Network, texts: list[bytes], label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
     data, starts = laid_out(texts)
     x, first, (place, live) = features(net, data, starts, argmax=True)
-    h = np.maximum(x @ net.dense + net.dense_bias, 0)
+    h = _hidden(net, x)
     counts = np.diff(np.append(first, len(h)))
     owner = np.repeat(np.arange(len(texts)), counts)
     top = np.maximum.reduceat(h, first)
@@ -141,8 +135,7 @@ def _gradients(net: Network, texts: list[bytes], label: np.ndarray, weight: np.n
     at_top = h == top[owner]
     d_h = np.where(at_top, d_pooled[owner, :HIDDEN], 0) + d_pooled[owner, HIDDEN:] / counts[owner, None]
     d_h *= h > 0
-    d_x = d_h @ net.dense.T
-    d_filter = d_x[:, :FILTERS] * live
+    d_filter = d_h @ net.dense.T * live
     d_taps = np.zeros_like(net.taps)
     padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     which = np.broadcast_to(np.arange(FILTERS), place.shape)
@@ -177,41 +170,53 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3, epochs: int = 1
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int, folds: int = 5) -> tuple[list[bytes], np.ndarray]:
-    """At most ``max_train_rows`` labelled texts outside fold 0, half of each label where there are enough, chosen by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int, max_train_bytes: int = 64 << 20, folds: int = 5) -> tuple[list[bytes], np.ndarray]:
+    """At most ``max_train_rows`` labelled texts outside fold 0, half of each label where there are enough, chosen by a hash of the id.
+
+    Of rows that share an id, each different text counts; in the order of the hash texts are taken while they
+    fit into ``max_train_bytes``, so what reaches the driver is bounded.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (C.id_bucket(F.col("doc_id"), folds) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("_by", F.xxhash64(F.lit(11), "doc_id"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     half = [C.smallest(known.filter(F.col("quality") == q), F.col("_by"), max_train_rows // 2, counts.get(q, 0), ("doc_id",)) for q in (0, 1)]
-    chosen = half[0].unionByName(half[1]).select("doc_id", "quality")
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    chosen = half[0].unionByName(half[1]).select("doc_id", "quality", "_by")
+    rows = docs.select("doc_id", C.text_key(F.col("text")).alias("_tk"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_size"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("_by", "doc_id", "_tk", "quality").agg(F.max("_size").alias("_size"))
+    taken, total = [], 0
+    for r in rows.orderBy("_by", "doc_id", "_tk").limit(max_train_rows).collect():
+        if total + r["_size"] <= max_train_bytes:
+            taken.append((r["doc_id"], r["_tk"], r["quality"]))
+            total += r["_size"]
+    if not taken:
+        return [], np.zeros(0, np.int64)
+    keys = docs.sparkSession.createDataFrame(taken, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _tk long, quality int")
+    found = docs.select("doc_id", "text", C.text_key(F.col("text")).alias("_tk")).join(F.broadcast(keys), ["doc_id", "_tk"])
+    found = found.dropDuplicates(["doc_id", "_tk"]).orderBy("doc_id", "_tk").collect()
     return [C.to_bytes(r["text"]) for r in found], np.array([r["quality"] for r in found], np.int64)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 3000, folds: int = 5, network: Network | None = None) -> DataFrame:
+def score(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train_rows: int = 3000, folds: int = 5, network: Network | None = None, max_train_bytes: int = 64 << 20
+) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``.
 
-    Only ``text`` makes the score; a null or empty text is scored as an empty chunk.  ``labels``
-    has ``doc_id`` and ``quality``; rows with other labels than 0 and 1 teach nothing, and of
+    Only ``text`` makes the score; a null or empty text is scored as an empty chunk, a very long one whole, by itself,
+    in blocks.  ``labels`` has ``doc_id`` and ``quality``; rows with other labels than 0 and 1 teach nothing, and of
     conflicting rows the lower label counts.  Without a labelled row of each class every
-    score is what an untrained output unit gives.  Each row is scored by itself, repeated
-    ids included; other columns of ``docs`` are not read.
+    score is what an untrained output unit gives.  Each row is scored by itself: equal texts get equal scores, whatever
+    stands beside them; other columns of ``docs`` are not read.  A score of exactly ``threshold`` is label 1.
     """
     if network is None:
-        network = train(*training_sample(docs, labels, max_train_rows, folds))
+        network = train(*training_sample(docs, labels, max_train_rows, max_train_bytes, folds))
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [C.to_bytes(t) for t in batch.column(2).to_pylist()]
-            scores, lo = np.empty(len(texts)), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 2 * BLOCK):
-                    size += len(texts[hi])
-                    hi += 1
+            scores = np.empty(len(texts))
+            for lo, hi in C.stretches([len(t) for t in texts], 2 * BLOCK):
                 scores[lo:hi] = forward(sent.value, texts[lo:hi])
-                lo = hi
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (C.id_bucket(F.col("doc_id"), folds) == 0).alias("held_out"), "text")

@@ -77,7 +77,7 @@ def test_network_gradients():
     grads = quality_cnn._gradients(net, texts, y, w)
     for p, g in zip(net.trained(), grads, strict=True):
         at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
-        old, step = p[at], 1e-3
+        old, step = p[at], 3e-4
         p[at] = old + step
         up = loss()
         p[at] = old - step
@@ -101,6 +101,43 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in found)
 
 
+def test_convolution_by_hand():
+    """Each text's probability from plain loops over its own bytes."""
+    rng = np.random.default_rng(4)
+    net = quality_cnn.Network.initial(rng)
+    texts = [bytes(rng.integers(32, 123, n, dtype=np.uint8)) for n in (0, 1, 5, 122, 123, 124, 128, 250, 251, 252, 256, 400, 1000)]
+    half, width = quality_cnn.HALF, quality_cnn.WIDTH
+    for text, p in zip(texts, quality_cnn.forward(net, texts), strict=True):
+        n_half = max(2, math.ceil((len(text) + width - 1) / half))
+        data = list(text) + [0] * (n_half * half - len(text))
+        response = [[sum(net.taps[j][data[i + j]][f] for j in range(width)) + net.bias[f] for f in range(quality_cnn.FILTERS)] for i in range(len(data) - width + 1)]
+        hidden = []
+        for c in range(n_half - 1):
+            chunk = response[c * half : (c + 2) * half]
+            x = np.maximum(np.max(chunk, axis=0), 0)
+            hidden.append(np.maximum(x @ net.dense + net.dense_bias, 0))
+        logit = np.concatenate([np.max(hidden, axis=0), np.mean(hidden, axis=0)]) @ net.out + net.out_bias[0]
+        assert abs(p - 1 / (1 + math.exp(-logit))) < 1e-5
+
+
+def test_scores_depend_on_the_text_alone():
+    rng = np.random.default_rng(5)
+    net = quality_cnn.Network.initial(rng)
+    texts = [bytes(rng.integers(32, 123, n, dtype=np.uint8)) for n in (0, 1, 123, 124, 251, 252, 256, 300, 5000, 700_000, 128, 129)]
+    alone = np.concatenate([quality_cnn.forward(net, [t]) for t in texts])
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1), rng.permutation(len(texts))):
+        assert (quality_cnn.forward(net, [texts[i] for i in order]) == alone[list(order)]).all()
+
+
+def test_training_sample_is_bounded(spark):
+    df = table(spark, [f"text {i} " * 10 for i in range(60)] + ["x" * 100_000, "hot a", "hot b", "hot b"], [*range(60), 60, 7, 7, 7])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    texts, marks = quality_cnn.training_sample(df, labels, 40)
+    assert len(texts) == len(marks) <= 40 and 0 < sum(marks) < len(marks)
+    texts, _ = quality_cnn.training_sample(df, labels, 60, 2000)
+    assert 0 < sum(map(len, texts)) <= 2000
+
+
 def test_classifier_takes_any_row(spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, 7)], "doc_id long, quality int")
     assert quality_cnn.score(awkward(spark), labels, max_train_rows=10).count() == 13
