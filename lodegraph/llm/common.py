@@ -82,6 +82,21 @@ def smallest(df: DataFrame, by: Column, rows: int, of: int, ties: tuple = ()) ->
     return df.orderBy(by, *ties).limit(rows)
 
 
+def sampled_texts(docs: DataFrame, keys: list[tuple], max_bytes: int) -> list[str]:
+    """The texts of ``keys (doc_id, text_key, size)`` in their order, while they fit into ``max_bytes``; a text counts once for each id."""
+    taken, total = [], 0
+    for doc_id, tk, size in dict.fromkeys(keys):
+        if total + size <= max_bytes:
+            taken.append((len(taken), doc_id, tk))
+            total += size
+    if not taken:
+        return []
+    wanted = docs.sparkSession.createDataFrame(taken, f"_n int, _id {docs.schema['doc_id'].dataType.simpleString()}, _tk long")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
+    found = rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_tk")))
+    return [r["text"] for r in found.dropDuplicates(["_n"]).orderBy("_n").select("text").collect()]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -183,17 +183,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int, max
     chosen = half[0].unionByName(half[1]).select("doc_id", "quality", "_by")
     rows = docs.select("doc_id", C.text_key(F.col("text")).alias("_tk"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_size"))
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("_by", "doc_id", "_tk", "quality").agg(F.max("_size").alias("_size"))
-    taken, total = [], 0
-    for r in rows.orderBy("_by", "doc_id", "_tk").limit(max_train_rows).collect():
-        if total + r["_size"] <= max_train_bytes:
-            taken.append((r["doc_id"], r["_tk"], r["quality"]))
-            total += r["_size"]
-    if not taken:
-        return [], np.zeros(0, np.int64)
-    keys = docs.sparkSession.createDataFrame(taken, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _tk long, quality int")
-    found = docs.select("doc_id", "text", C.text_key(F.col("text")).alias("_tk")).join(F.broadcast(keys), ["doc_id", "_tk"])
-    found = found.dropDuplicates(["doc_id", "_tk"]).orderBy("doc_id", "_tk").collect()
-    return [C.to_bytes(r["text"]) for r in found], np.array([r["quality"] for r in found], np.int64)
+    keys = [tuple(r) for r in rows.orderBy("_by", "doc_id", "_tk").limit(max_train_rows).select("doc_id", "_tk", "_size", "quality").collect()]
+    total, fits = 0, []
+    for key in keys:
+        if total + key[2] <= max_train_bytes:
+            fits.append(key)
+            total += key[2]
+    return [C.to_bytes(t) for t in C.sampled_texts(docs, [k[:3] for k in fits], max_train_bytes)], np.array([k[3] for k in fits], np.int64)
 
 
 def score(
