@@ -1,19 +1,20 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
-The test items are indexed once: for every term the items that hold it, in blocks of
+The test items are indexed once: for every term the items that hold it, cut into blocks of
 ``BLOCK`` items of like thresholds, with the largest impact (the term's largest share of a
-BM25 score) of each block.  Every passage of every document is a query: windows of words that overlap,
-so that each stretch as long as the longest item lies whole in one window.
+BM25 score) of the term and of each block in its list; nothing is kept for blocks without the term.  Every passage of every
+document is a query: windows of words that overlap, so that each stretch as long as the longest item lies whole in one window.
 
-For a passage, the sum of its terms' block maxima bounds the score of any item of a block; blocks
-whose bound stays below the block's smallest threshold are passed over unread.  In the
-others the search goes document-at-a-time in WAND's manner: the postings of the passage's
+A passage whose terms' largest impacts stay below the smallest threshold is passed over.  Else the terms with the
+smallest impacts, as many as together stay below it, can't bring any item up by themselves: only blocks
+in the lists of the others are looked at, bounded first by these terms' block maxima and the sum of the rest, then by the block maxima
+of all.  In blocks that remain the search goes document-at-a-time in WAND's manner: the postings of the passage's
 terms are merged in item order, and an item is scored in full only where the summed upper
 bounds of the terms that can still reach it - the pivot condition - meet its threshold.
 All items above their threshold (a share of the score an item gets as its own query) are
 retrieved, none is lost to a cap.  A hit is *verified* on the words themselves: the item is
-split into a question and an answer part, and enough word n-grams of both must be in the
-passage.
+split into a question and an answer part - its first two thirds and the rest, as the table tells no more - and enough
+word n-grams of both must be in the passage.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from . import common as C
 BLOCK = 4
 EDGES = b"\"'`.,;:!?()[]{}<>#$%&*|=-_/"
 K1, B = 1.2, 0.75
+#: What sums of a window's terms, added in different orders, may differ by.
+SLACK = 1e-7
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -40,36 +43,57 @@ def words_of(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(EDGES) for x in C.to_bytes((text or "").lower()).split()) if w]
 
 
+@dataclass
+class Statistics:
+    """What BM25 asks of the whole benchmark: items with a word, their mean and largest length, and in how many each term is."""
+
+    n_items: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
+def statistics(texts: list[list[bytes]]) -> Statistics:
+    sizes = [len(w) for w in texts if w]
+    return Statistics(len(sizes), float(np.mean(sizes)) if sizes else 1.0, max(sizes, default=0), Counter(w for words in texts for w in set(words)))
+
+
 @dataclass
 class Index:
-    """Items in rows; ``postings`` by term: item numbers and impacts, both in item order."""
+    """Items in rows; postings by term and item; ``entries``: a row for each term and each block that holds it."""
 
     item_ids: list
-    words: list[list[bytes]]
+    words: list[np.ndarray]  # term numbers
     terms: dict[bytes, int]
-    starts: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    term_max: np.ndarray
+    term_entries: np.ndarray  # where each term's entries begin, and the end
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_postings: np.ndarray  # where each entry's postings begin, and the end
+    entry_key: np.ndarray  # term * blocks + block, sorted
+    n_blocks: int
     thresholds: np.ndarray
     block_thresholds: np.ndarray
     longest: int
 
 
-def build(items: list[tuple], share: float) -> Index:
-    """Index ``(item_id, text)`` rows; items without a word are left out."""
+def build(items: list[tuple], share: float, known: Statistics | None = None) -> Index:
+    """Index ``(item_id, text)`` rows; items without a word are left out.  ``known``: of all items, where these are a part."""
     kept = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
-    n_items, mean = len(kept), np.mean([len(w) for _, w in kept]) if kept else 1.0
+    known = known or statistics([w for _, w in kept])
+    n_items = len(kept)
     terms: dict[bytes, int] = {}
     rows = []
     for k, (_, words) in enumerate(kept):
         for w, n in Counter(words).items():
             rows.append((terms.setdefault(w, len(terms)), k, n))
     table = np.array(rows, np.int64).reshape(-1, 3)
-    df = np.bincount(table[:, 0], minlength=len(terms))
-    idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+    df = np.array([known.df[w] for w in terms], float)
+    idf = np.log(1 + (known.n_items - df + 0.5) / (df + 0.5))
     size, tf = np.array([len(w) for _, w in kept], float), table[:, 2]
-    impacts = idf[table[:, 0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[table[:, 1]] / mean))
+    impacts = idf[table[:, 0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[table[:, 1]] / known.mean))
     # items in the order of their thresholds: a block's smallest one is then close to the others
     thresholds = share * np.bincount(table[:, 1], weights=impacts, minlength=n_items)
     order = np.argsort(thresholds, kind="stable")
@@ -78,29 +102,64 @@ def build(items: list[tuple], share: float) -> Index:
     by_term = np.lexsort((table[:, 1], table[:, 0]))
     table, impacts = table[by_term], impacts[by_term]
     n_blocks = -(-n_items // BLOCK)
-    block_max = np.zeros((len(terms), n_blocks), np.float32)
-    np.maximum.at(block_max, (table[:, 0], table[:, 1] // BLOCK), impacts)
+    key = table[:, 0] * max(1, n_blocks) + table[:, 1] // BLOCK
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    entry_key = key[first]
+    entry_max = np.maximum.reduceat(impacts, first) if len(first) else np.zeros(0)
+    term_entries = np.searchsorted(table[first, 0], np.arange(len(terms) + 1))
+    term_max = np.maximum.reduceat(entry_max, term_entries[:-1]) if len(terms) else np.zeros(0)
     block_thresholds = np.array([thresholds[b * BLOCK : (b + 1) * BLOCK].min() for b in range(n_blocks)])
-    starts = np.searchsorted(table[:, 0], np.arange(len(terms) + 1))
-    return Index([i for i, _ in kept], [w for _, w in kept], terms, starts, table[:, 1], impacts, block_max, thresholds, block_thresholds, max((len(w) for _, w in kept), default=0))
+    return Index(
+        [i for i, _ in kept], [np.array([terms[x] for x in w], np.int32) for _, w in kept], terms, table[:, 1], impacts, term_max, term_entries, entry_key % max(1, n_blocks), entry_max,
+        np.append(first, len(table)), entry_key, n_blocks, thresholds, block_thresholds, known.longest,
+    )
+
+
+def blocks_for(index: Index, query: np.ndarray) -> list[int]:
+    """The blocks in which an item can reach its threshold for the distinct terms ``query``."""
+    if not len(query):
+        return []
+    order = np.argsort(index.term_max[query], kind="stable")
+    total = np.cumsum(index.term_max[query[order]])
+    least = index.block_thresholds[0] - SLACK  # items lie in the order of their thresholds
+    if total[-1] < least:
+        return []
+    cut = int(np.searchsorted(total, least))  # the terms before this one stay below every threshold together
+    essential, rest = query[order[cut:]], query[order[:cut]]
+    begin = index.term_entries[essential]
+    count = index.term_entries[essential + 1] - begin
+    at = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+    blocks, place = np.unique(index.entry_block[at], return_inverse=True)
+    bound = np.bincount(place, weights=index.entry_max[at])
+    limit = index.block_thresholds[blocks] - SLACK
+    able = bound + (total[cut - 1] if cut else 0.0) >= limit
+    blocks, bound, limit = blocks[able], bound[able], limit[able]
+    if cut and len(blocks):
+        hit, at = entries_of(index, rest[:, None], blocks[None, :])
+        bound = bound + np.where(hit, index.entry_max[at], 0.0).sum(0)
+    return blocks[bound >= limit].tolist()
+
+
+def entries_of(index: Index, terms: np.ndarray, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the blocks are in the terms' lists, and at which entry."""
+    key = terms * index.n_blocks + blocks
+    at = np.minimum(np.searchsorted(index.entry_key, key), len(index.entry_key) - 1)
+    return index.entry_key[at] == key, at
 
 
 def wand(index: Index, query: np.ndarray, block: int) -> list[tuple[int, float]]:
     """Items of one block whose score for the distinct terms ``query`` reaches their threshold."""
-    lo, hi, found = block * BLOCK, (block + 1) * BLOCK, []
-    cursors = []  # [item, position, end, bound]
-    for t in query.tolist():
-        a, b = index.starts[t], index.starts[t + 1]
-        a, b = a + np.searchsorted(index.items[a:b], [lo, hi])
-        if a < b:
-            cursors.append([int(index.items[a]), int(a), int(b), float(index.block_max[t, block])])
+    end, found = (block + 1) * BLOCK, []
+    hit, at = entries_of(index, query, block)
+    # [item, position, end, bound]
+    cursors = [[int(index.items[index.entry_postings[e]]), int(index.entry_postings[e]), int(index.entry_postings[e + 1]), float(index.entry_max[e])] for e in at[hit].tolist()]
     least = index.block_thresholds[block]
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, None
         for k, c in enumerate(cursors):
             bound += c[3]
-            if bound >= least - 1e-9:
+            if bound >= least - SLACK:
                 pivot = k
                 break
         if pivot is None:
@@ -111,25 +170,25 @@ def wand(index: Index, query: np.ndarray, block: int) -> list[tuple[int, float]]
             for c in cursors:
                 if c[0] == item:
                     score += index.impacts[c[1]]
-            if score >= index.thresholds[item] - 1e-9:
+            if score >= index.thresholds[item] - SLACK:
                 found.append((item, score))
             item += 1
         for c in cursors[: pivot + 1] if cursors[0][0] < item else cursors:
             while c[1] < c[2] and index.items[c[1]] < item:
                 c[1] += 1
-            c[0] = int(index.items[c[1]]) if c[1] < c[2] else hi
-        cursors = [c for c in cursors if c[0] < hi]
+            c[0] = int(index.items[c[1]]) if c[1] < c[2] else end
+        cursors = [c for c in cursors if c[0] < end]
     return found
 
 
-def overlap(part: list[bytes], grams: set[tuple], size: int) -> float:
+def overlap(part: list, grams: set[tuple], size: int) -> float:
     """The share of the n-grams of ``part`` in ``grams``; of its words where it is shorter than a gram."""
     n = min(size, len(part))
     own = [tuple(part[i : i + n]) for i in range(len(part) - n + 1)]
     return sum(g in grams for g in own) / max(1, len(own))
 
 
-def verified(item: list[bytes], passage: list[bytes], size: int, enough: float) -> bool:
+def verified(item: list, passage: list, size: int, enough: float) -> bool:
     """Whether both the question (the first two thirds of an item) and the answer (the rest) are in the passage."""
     cut = max(1, -(-2 * len(item) // 3))
     for part in (item[:cut], item[cut:]):
@@ -155,30 +214,42 @@ def search(index: Index, text: str | None, window: int, step: int, size: int, en
     lo, hi = np.searchsorted(where, first), np.searchsorted(where, last)
     best: dict[int, tuple[int, float]] = {}
     # A term counted as often as it occurs bounds it counted once, so running sums give a first, cheap bound.
-    sums = np.zeros((len(known) + 1, index.block_max.shape[1]), np.float32)
-    np.cumsum(index.block_max[known], axis=0, out=sums[1:])
-    passing = sums[hi] - sums[lo] >= index.block_thresholds * (1 - 1e-4) - 1e-4
-    for k in np.flatnonzero(passing.any(1)).tolist():
+    sums = np.concatenate([[0.0], np.cumsum(index.term_max[known])])
+    for k in np.flatnonzero(sums[hi] - sums[lo] >= index.block_thresholds[0] * (1 - 1e-9) - 1e-12 * sums[-1] - SLACK).tolist():
         query = np.unique(known[lo[k] : hi[k]])
-        blocks = np.flatnonzero(passing[k])
-        bounds = index.block_max[np.ix_(query, blocks)].sum(0)
-        for block in blocks[bounds >= index.block_thresholds[blocks] * (1 - 1e-4) - 1e-4].tolist():
+        for block in blocks_for(index, query):
             for item, score in wand(index, query, block):
                 if item in best and best[item][1] >= score:
                     continue
-                if verified(index.words[item], words[first[k] : last[k]], size, enough):
+                if verified(index.words[item].tolist(), at[first[k] : last[k]].tolist(), size, enough):
                     best[item] = (int(first[k]), score)
     return sorted((item, at, score) for item, (at, score) in best.items())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, gram: int = 4, enough: float = 0.75, max_index_bytes: int = 64 << 20) -> DataFrame:
+def _all_statistics(benchmark: DataFrame) -> tuple[Statistics, DataFrame]:
+    """Numbers of the whole benchmark without its terms, and these as ``(term, df)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], names=["n", "terms"])
+
+    items = C.settle(C.in_arrow(benchmark.select("text"), run, "n long, terms array<binary>").filter("n > 0"), "benchmark-words")
+    r = items.agg(F.count(F.lit(1)).alias("k"), F.avg("n").alias("mean"), F.max("n").alias("most")).collect()[0]
+    df = C.settle(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "benchmark-terms")
+    C.discard(items)
+    return Statistics(r["k"], r["mean"] or 1.0, r["most"] or 0, {}), df
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, gram: int = 4, enough: float = 0.75, max_index_bytes: int = 16 << 20) -> DataFrame:
     """``(doc_id, item_id, first_word, score)``: the items found in each row of ``docs``, with their best passage.
 
-    The items are collected, indexed and sent to the tasks in groups whose texts are at most ``max_index_bytes``; with
-    more, the documents are searched once for each group (the statistics are then a group's own).  A window
-    is twice the longest item of a group and steps by half of it, so every stretch as long as an item lies in one.  A
+    The items are collected, indexed and sent to the tasks in groups whose texts are about ``max_index_bytes`` at most (an index
+    takes some twelve times its texts); with more, the documents are searched once for each group.  Statistics and windows are those
+    of all items, so the result is the same for any number of groups.  A window is twice the longest item and steps by
+    half of it, so every stretch as long as an item lies in one.  Of equally good passages the first counts.  A
     null or empty text holds nothing, an item without words is found nowhere; equal items are
-    all found; each row is searched by itself.  Other columns are not read.
+    all found; each row is searched by itself, a very long text window by window.  Other columns are not read.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -187,11 +258,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, gram
     sized = benchmark.select("item_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_size"))
     total = sized.agg(F.sum("_size").alias("s")).collect()[0]["s"] or 0
     groups = max(1, -(-2 * total // max_index_bytes)) if total > max_index_bytes else 1
+    known, df = _all_statistics(benchmark) if groups > 1 else (None, None)
     out = None
     for g in range(groups):
         part = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        index = build(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1] or "")), share)
-        found = _searched(docs, spark.sparkContext.broadcast(index), schema, gram, enough)
+        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0], x[1] or ""))
+        if known:
+            own = spark.createDataFrame([(w,) for w in {w for _, t in items for w in words_of(t)}], "term binary")
+            known.df = {bytes(r["term"]): r["df"] for r in df.join(own, "term", "left_semi").collect()}
+        found = _searched(docs, spark.sparkContext.broadcast(build(items, share, known)), schema, gram, enough)
         out = found if out is None else out.unionByName(found)
     return out
 
