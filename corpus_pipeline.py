@@ -33,15 +33,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, 0.8 alike or more, stays: the one with the smallest id.
 
-    Of rows that share an id (or have none) and the text, one stays.
+    Rows are told apart by id and text together, so rows that share an id with another text are judged by their own
+    text; of rows alike in both, one stays.  Rows without an id come after all others.
     """
-    found = C.settle(minhash.near_duplicates(docs, percent=80), "pipeline-classes")
-    gone = C.small(found.filter(~F.col("kept")).select("doc_id").distinct())
-    docs = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = C.settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    tk = C.text_key(F.col("text"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", tk.alias("tk"))
+    found = C.settle(minhash.near_duplicates(docs.select(key.alias("doc_id"), "text"), percent=80), "pipeline-classes")
+    own = [F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.tk").alias("_tk")]
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (tk == F.col("_tk"))
+    docs = docs.join(C.small(found.filter(~F.col("kept")).select(*own).distinct()), same, "left_anti")
+    repeated = C.settle(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(*own), "pipeline-repeated")
     if repeated.isEmpty():
         return docs
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
     return docs.join(repeated, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
