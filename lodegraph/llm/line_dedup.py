@@ -1,10 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A *run* is a Parquet table of ``(hi, lo, n_docs)`` - a 128-bit hash of a line's key
-and the number of documents seen with it - hash-partitioned and sorted by the hash.
-A new batch merge-anti-joins the runs (keys a run already counts as frequent need no
+A *run* is a table of ``(hi, lo, n_docs)`` - a 128-bit hash of a line's key
+and the number of documents seen with it - in buckets by the hash, each one sorted file, and known
+to Spark as such: joins and sums over runs stream through the files as they lie, without an exchange or a sort.
+A new batch is exchanged once, merge-anti-joins the runs (keys a run already counts as frequent need no
 second entry) and is added as a run of level 0.  As soon as a level holds ``fanout``
-runs they are merged into one run of the next level, so a store that has taken ``b``
+runs (two, where merging should need no exchange) they are merged, bucket by bucket, into one run of the next level, so a store that has taken ``b``
 batches has ``O(fanout * log b)`` runs and each hash was rewritten ``O(log b)`` times.
 
 A line's key is the line with white space stripped at both ends and ``A-Z`` lower-cased.
@@ -13,7 +14,10 @@ A line's key is the line with white space stripped at both ends and ``A-Z`` lowe
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,53 +42,88 @@ class LineRuns:
     """A store of line counts in levelled sorted runs; see the module's text.
 
     ``min_docs``: from this many documents on a key is frequent.  ``fanout``: runs of a
-    level before they are compacted.  All tables live below ``root`` in the shared folder.
+    level before they are compacted.  All files live below ``root`` in the shared folder.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, root: str | None = None):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, root: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = root or C.fresh_path(spark, "line-runs")
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.buckets = C.shuffle_partitions(spark)
         self.levels: list[list[str]] = [[]]
         self.written = 0
 
     def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        if not paths:
-            return self.spark.createDataFrame([], RUN_SCHEMA)
-        return self.spark.read.schema(RUN_SCHEMA).parquet(*paths)
+        return [run for level in self.levels for run in level]
 
     def _write(self, counts: DataFrame) -> str:
-        path, self.written = f"{self.root}/run-{self.written:06d}", self.written + 1
-        parts = C.shuffle_partitions(self.spark)
-        counts.repartition(parts, "hi", "lo").sortWithinPartitions("hi", "lo").write.parquet(path)
-        return path
+        run, self.written = f"{self.name}_{self.written:06d}", self.written + 1
+        options = {"path": f"{self.root}/{run}", "compression": "zstd"}
+        with as_they_lie(self.spark):
+            counts.select("hi", "lo", "n_docs").write.options(**options).bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").saveAsTable(run, format="parquet")
+        return run
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        C.remove(self.spark, f"{self.root}/{run}")
+
+    def new_counts(self, keys: DataFrame) -> DataFrame:
+        """The counts of a batch, without the keys that a run already counts as frequent."""
+        counts = keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"))
+        for run in self.runs():
+            full = self.spark.table(run).filter(F.col("n_docs") >= self.min_docs).select("hi", "lo")
+            counts = counts.join(full.hint("merge"), ["hi", "lo"], "left_anti")
+        return counts
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: ``keys`` has a row ``(hi, lo)`` for each document and distinct key in it."""
-        counts = keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"))
-        full = self._read(self.runs()).filter(F.col("n_docs") >= self.min_docs).select("hi", "lo")
-        self.levels[0].append(self._write(counts.join(full, ["hi", "lo"], "left_anti")))
+        self.levels[0].append(self._write(self.new_counts(keys)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self._write(self.totals(old))
+            compact = self._write(self.totals(old))
             self.levels[level] = []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(merged)
-            for path in old:
-                C.remove(self.spark, path)
+            self.levels[level + 1].append(compact)
+            for run in old:
+                self._drop(run)
             level += 1
 
-    def totals(self, paths: list[str] | None = None) -> DataFrame:
+    def totals(self, runs: list[str] | None = None) -> DataFrame:
         """``(hi, lo, n_docs)`` over the given runs, or over all."""
-        runs = self._read(self.runs() if paths is None else paths)
-        return runs.groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"))
+        tables = [self.spark.table(run) for run in (self.runs() if runs is None else runs)]
+        return reduce(merged, tables) if tables else self.spark.createDataFrame([], RUN_SCHEMA)
 
     def frequent(self) -> DataFrame:
-        return self.totals().filter(F.col("n_docs") >= self.min_docs).select("hi", "lo")
+        """``(hi, lo)`` of the frequent keys, written down."""
+        with as_they_lie(self.spark):
+            return C.settle(self.totals().filter(F.col("n_docs") >= self.min_docs).select("hi", "lo"), "line-frequent")
+
+    def close(self) -> None:
+        """Drop all runs."""
+        for run in self.runs():
+            self._drop(run)
+        C.remove(self.spark, self.root)
+        self.levels = [[]]
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sums of two runs by a merge join (a union of bucketed tables would be summed by bucket without being laid together)."""
+    total = F.coalesce(a["n_docs"], F.lit(0)) + F.coalesce(b["n_docs"], F.lit(0))
+    return a.join(b.hint("merge"), ["hi", "lo"], "full").select("hi", "lo", total.alias("n_docs"))
+
+
+@contextmanager
+def as_they_lie(spark: SparkSession):
+    """Let Spark look whether each bucket is one file, and so sorted as a whole."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def _split_hash(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +173,7 @@ def _rewritten(docs: DataFrame, frequent_of, extra: list[str]) -> DataFrame:
     return C.in_arrow(docs, rewrite, f"{schema}, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 3, max_broadcast_keys: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 2, max_broadcast_keys: int = 1_000_000) -> DataFrame:
     """Drop every line whose key is found in at least ``min_docs`` documents.
 
     Returns the columns of ``docs`` without ``text``, plus ``n_lines`` (before), ``n_dropped``,
@@ -143,7 +182,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     ``kept_text`` and the digest of nothing).  Rows with the same id and text are one document
     to the counts, and each keeps its row.  The documents go into the runs in ``n_batches``
     batches.  Up to ``max_broadcast_keys`` frequent keys (16 bytes each) are sent to the
-    tasks; beyond that the documents are joined with their keys by a shuffle.
+    tasks; beyond that the documents are joined with their keys by a shuffle.  A very long text is split
+    whole, in the memory of its lines.  A key in exactly ``min_docs`` documents is frequent.
     Columns of ``docs`` named like a result are replaced by the result.
     """
     spark = docs.sparkSession
@@ -152,17 +192,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batch
     for b in range(n_batches):
         one = keys.filter(F.col("batch") == b).dropDuplicates(["doc_id", "tk", "hi", "lo"])
         store.add(one.select("hi", "lo"))
-    frequent = C.settle(store.frequent(), "line-frequent")
+    frequent = store.frequent()
+    store.close()
     results = ("n_lines", "n_dropped", "kept_text", "kept_sha256")
     extra = [c for c in docs.columns if c != "text" and c not in results]
     if frequent.count() <= max_broadcast_keys:
         rows = frequent.toArrow()
         packed = np.column_stack([rows.column("hi").to_numpy(), rows.column("lo").to_numpy()]).astype(">i8").tobytes()
         sent = spark.sparkContext.broadcast(frozenset(packed[i : i + 16] for i in range(0, len(packed), 16)))
+        C.discard(keys)
+        C.discard(frequent)
         return _rewritten(docs.select(*extra, "text"), lambda batch: [sent.value] * batch.num_rows, extra)
     hits = keys.join(frequent, ["hi", "lo"], "left_semi").dropDuplicates(["doc_id", "tk", "hi", "lo"])
     hits = hits.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("hi", "lo")).alias("_drop"))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_drop")
+    hits = C.settle(hits.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "_drop"), "line-hits")
+    C.discard(keys)
+    C.discard(frequent)
     joined = docs.select(*extra, "text").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (C.text_key(F.col("text")) == F.col("_tk")), "left")
 
     def own(batch: pa.RecordBatch) -> list[set[bytes]]:

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,6 +48,25 @@ def test_line_runs_are_levelled(spark):
     assert {r["hi"] for r in store.frequent().collect()} == {h for h, n in want.items() if n >= 3}
 
 
+def test_runs_are_joined_and_merged_as_they_lie(spark):
+    """One exchange, of the batch; the runs' buckets are neither exchanged nor sorted."""
+    store = line_dedup.LineRuns(spark, min_docs=2, fanout=4)
+    for batch in range(3):
+        store.add(spark.createDataFrame([(h % 5, h) for h in range(batch, batch + 40)] * 2, "hi long, lo long"))
+    with line_dedup.as_they_lie(spark):
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        batch = plan(store.new_counts(spark.range(50).selectExpr("id % 5 as hi", "id as lo")))
+        assert batch.count("SortMergeJoin") == 3 and batch.count("Exchange") == 1 and batch.count(" Sort ") == 1
+        assert batch.count("Bucketed: true") == 3
+        merged = plan(store.totals(store.runs()[:2]))
+        assert "Exchange" not in merged and " Sort " not in merged and merged.count("Bucketed: true") == 2
+    # a key counted as frequent by the first run has no second entry
+    assert {tuple(r) for r in store.totals().collect()} == {(h % 5, h, 2) for h in range(42)}
+    root = store.root
+    store.close()
+    assert not Path(root.removeprefix("file://")).exists() and store.runs() == []
+
+
 def test_empty_tables(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     assert sharding.shard(empty(spark)).count() == 0

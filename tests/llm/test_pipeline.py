@@ -59,6 +59,13 @@ def test_stages_keep_the_columns_and_take_any_row(spark, tmp_path):
             assert sorted((r["doc_id"] or -1 for r in df.collect())) == [-1, 7]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, tmp_path):
+    a, b = (" ".join(f"{x}{j}" for j in range(30)) for x in "ab")
+    docs = table(spark, [a, a, b, b, b, a, "c", "c"], [7, 8, 8, None, None, None, None, None])
+    found = corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted([(7, a), (8, b), (None, "c")], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     same(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name])

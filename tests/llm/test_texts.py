@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,23 @@ def test_classes_by_hand(spark, bound):
     assert sorted(map(tuple, found), key=repr) == classes_by_hand([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_find_pairs_at_the_threshold(percent):
+    """Recall of the candidate search against all pairs: sets of many sizes that are just alike enough."""
+    rng = np.random.default_rng(percent)
+    bands, missed, pairs = minhash.bands_for(percent), 0, 0
+    for size in [7, 9, 12, 20, 40, 80, 150, 300] * 60:
+        pool = rng.integers(0, 2**64, 2 * size, dtype=np.uint64)
+        for common in range(size, 0, -1):  # the fewest common shingles that link two sets of this size
+            if 100 * (common - 1) < percent * (2 * size - common + 1):
+                break
+        a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[:common], pool[size : 2 * size - common]]))
+        assert 100 * common >= percent * (2 * size - common)
+        pairs += 1
+        missed += not (minhash.band_keys(a, bands) == minhash.band_keys(b, bands)).any()
+    assert missed <= 0.01 * pairs
+
+
 def test_no_documents(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     assert minhash.near_duplicates(table(spark, [None, ""])).filter("kept").count() == 2
