@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -36,6 +36,8 @@ EDGES = b"\"'`.,;:!?()[]{}<>#$%&*|=-_/"
 K1, B = 1.2, 0.75
 #: What sums of a window's terms, added in different orders, may differ by.
 SLACK = 1e-7
+#: Windows times blocks that are bounded at once, and words that a worker remembers.
+CELLS, MET_WORDS = 1 << 18, 300_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,6 +79,18 @@ class Index:
     thresholds: np.ndarray
     block_thresholds: np.ndarray
     longest: int
+    met: dict[bytes, int] = field(default_factory=dict)
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The term numbers of a text's words, -1 for a word that no item has; words met are remembered with their edges."""
+        raw = C.to_bytes((text or "").lower()).split()
+        if len(self.met) > MET_WORDS:
+            self.met.clear()
+        out = np.fromiter(map(self.met.get, raw, repeat(-3)), np.int64, len(raw))
+        for k in np.flatnonzero(out == -3).tolist():
+            word = raw[k].strip(EDGES)
+            out[k] = self.met[raw[k]] = self.terms.get(word, -1) if word else -2
+        return out[out != -2]
 
 
 def build(items: list[tuple], share: float, known: Statistics | None = None) -> Index:
@@ -115,29 +129,42 @@ def build(items: list[tuple], share: float, known: Statistics | None = None) ->
     )
 
 
-def blocks_for(index: Index, query: np.ndarray) -> list[int]:
-    """The blocks in which an item can reach its threshold for the distinct terms ``query``."""
-    if not len(query):
-        return []
-    order = np.argsort(index.term_max[query], kind="stable")
-    total = np.cumsum(index.term_max[query[order]])
-    least = index.block_thresholds[0] - SLACK  # items lie in the order of their thresholds
-    if total[-1] < least:
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers ``begin .. begin + count - 1`` of each row, end to end."""
+    return np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+
+
+def blocks_for(index: Index, known: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Windows ``known[lo:hi]`` of terms and blocks in which an item can reach its threshold for the window's distinct terms."""
+    n, n_terms, n_blocks = len(lo), len(index.terms), index.n_blocks
+    key = np.unique(np.repeat(np.arange(n), hi - lo) * n_terms + known[_spread(lo, hi - lo)])
+    if not len(key):
         return []
-    cut = int(np.searchsorted(total, least))  # the terms before this one stay below every threshold together
-    essential, rest = query[order[cut:]], query[order[:cut]]
-    begin = index.term_entries[essential]
-    count = index.term_entries[essential + 1] - begin
-    at = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
-    blocks, place = np.unique(index.entry_block[at], return_inverse=True)
-    bound = np.bincount(place, weights=index.entry_max[at])
-    limit = index.block_thresholds[blocks] - SLACK
-    able = bound + (total[cut - 1] if cut else 0.0) >= limit
-    blocks, bound, limit = blocks[able], bound[able], limit[able]
-    if cut and len(blocks):
-        hit, at = entries_of(index, rest[:, None], blocks[None, :])
-        bound = bound + np.where(hit, index.entry_max[at], 0.0).sum(0)
-    return blocks[bound >= limit].tolist()
+    window = key // n_terms
+    term = key - window * n_terms
+    most = index.term_max[term]
+    order = np.lexsort((most, window))
+    window, term, most = window[order], term[order], most[order]
+    first = np.minimum(np.searchsorted(window, np.arange(n)), len(key) - 1)
+    total = np.cumsum(most)
+    total -= (total[first] - most[first])[window]
+    # items lie in the order of their thresholds; a window's terms before this point stay below every threshold together
+    essential = total >= index.block_thresholds[0] - SLACK
+    limit = index.block_thresholds - SLACK
+
+    def bounds(some: np.ndarray) -> np.ndarray:
+        begin = index.term_entries[term[some]]
+        count = index.term_entries[term[some] + 1] - begin
+        at = _spread(begin, count)
+        return np.bincount(np.repeat(window[some], count) * n_blocks + index.entry_block[at], index.entry_max[at], n * n_blocks).reshape(n, n_blocks)
+
+    bound = bounds(essential)
+    rest = np.bincount(window[~essential], most[~essential], n)
+    able = (bound > 0) & (bound + rest[:, None] >= limit)
+    if able.any():
+        bound += bounds(~essential & able.any(1)[window])
+        able &= bound >= limit
+    return [(int(k), int(block)) for k, block in zip(*np.nonzero(able), strict=True)]
 
 
 def entries_of(index: Index, terms: np.ndarray, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,23 +229,24 @@ def verified(item: list, passage: list, size: int, enough: float) -> bool:
 
 def search(index: Index, text: str | None, window: int, step: int, size: int, enough: float) -> list[tuple[int, int, float]]:
     """``(item, first word, score)`` of the best verified passage for each item found in ``text``."""
-    words = words_of(text)
-    if not words or not index.terms:
+    at = index.numbers(text)
+    if not len(at) or not index.terms:
         return []
-    get = index.terms.get
-    at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
     where = np.flatnonzero(at >= 0)
     known = at[where]
-    first = np.arange(0, max(1, len(words) - window + step), step)
-    last = np.minimum(first + window, len(words))
+    first = np.arange(0, max(1, len(at) - window + step), step)
+    last = np.minimum(first + window, len(at))
     lo, hi = np.searchsorted(where, first), np.searchsorted(where, last)
     best: dict[int, tuple[int, float]] = {}
     # A term counted as often as it occurs bounds it counted once, so running sums give a first, cheap bound.
     sums = np.concatenate([[0.0], np.cumsum(index.term_max[known])])
-    for k in np.flatnonzero(sums[hi] - sums[lo] >= index.block_thresholds[0] * (1 - 1e-9) - 1e-12 * sums[-1] - SLACK).tolist():
-        query = np.unique(known[lo[k] : hi[k]])
-        for block in blocks_for(index, query):
-            for item, score in wand(index, query, block):
+    able = np.flatnonzero(sums[hi] - sums[lo] >= index.block_thresholds[0] * (1 - 1e-9) - 1e-12 * sums[-1] - SLACK)
+    per = max(1, CELLS // index.n_blocks)
+    for a in range(0, len(able), per):
+        some = able[a : a + per]
+        for k, block in blocks_for(index, known, lo[some], hi[some]):
+            k = int(some[k])
+            for item, score in wand(index, np.unique(known[lo[k] : hi[k]]), block):
                 if item in best and best[item][1] >= score:
                     continue
                 if verified(index.words[item].tolist(), at[first[k] : last[k]].tolist(), size, enough):

@@ -70,7 +70,7 @@ def test_wand_finds_all_above_their_thresholds():
         want = bm25_by_hand(items, passage)
         query = np.unique([index.terms[w] for w in passage if w in index.terms])
         got = {index.item_ids[i]: s for b in range(index.n_blocks) for i, s in decontamination.wand(index, query, b)}
-        assert got == {index.item_ids[i]: s for b in decontamination.blocks_for(index, query) for i, s in decontamination.wand(index, query, b)}
+        assert got == {index.item_ids[i]: s for _, b in decontamination.blocks_for(index, query, np.array([0]), np.array([len(query)])) for i, s in decontamination.wand(index, query, b)}
         limit = {index.item_ids[i]: t for i, t in enumerate(index.thresholds)}
         assert set(got) == {i for i in range(30) if want[i] >= limit[i] - 1e-9}
         assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
