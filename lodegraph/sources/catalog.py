@@ -9,6 +9,7 @@ that of its keys.  A relationship is identified by source, type and target.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,26 @@ from ..operators import values as V
 from ..operators.values import Type
 
 KEY_BITS = 48
+EXT = "_ext"
 
 
 @dataclass(frozen=True)
 class NodeTable:
-    """``df`` has ``id`` (long) and the property columns; ``ext`` names the property that is the external id, if any."""
+    """``df`` has ``id`` (long) and the property columns; ``ext`` names the column that is the external id, if any.
+
+    :data:`EXT` is an external id that is no property.  ``ids``: the smallest and largest id, where they are known.
+    """
 
     labels: tuple[str, ...]
     df: DataFrame
     ext: str | None = None
+    ids: tuple[int, int] | None = None
 
     def props(self) -> dict[str, Type]:
-        return {f.name: V.from_spark(f.dataType) for f in self.df.schema.fields if f.name != "id"}
+        return {f.name: V.from_spark(f.dataType) for f in self.df.schema.fields if f.name not in ("id", EXT)}
+
+    def may_hold(self, node: int) -> bool:
+        return self.ids is None or self.ids[0] <= node <= self.ids[1]
 
 
 @dataclass(frozen=True)
@@ -55,6 +64,20 @@ def merged_props(tables: list) -> dict[str, Type]:
     return out
 
 
+def _place(names: list[str], name: str) -> int | None:
+    return names.index(name) if name in names else None
+
+
+def _at(names: list[str], number: int) -> str | None:
+    return names[number] if 0 <= number < len(names) else None
+
+
+def _total(tables: list[DataFrame]) -> int:
+    """The rows of all tables, counted in one job."""
+    counts = [t.agg(F.count(F.lit(1)).alias("n")) for t in tables]
+    return reduce(DataFrame.unionAll, counts).agg(F.sum("n")).collect()[0][0] if counts else 0
+
+
 @dataclass
 class Graph:
     """An immutable graph; reading methods return DataFrames."""
@@ -62,6 +85,8 @@ class Graph:
     spark: SparkSession
     nodes: list[NodeTable] = field(default_factory=list)
     rels: list[RelTable] = field(default_factory=list)
+    #: Labels and types in the order of their numbers, where a store has numbered them.
+    numbered: tuple[tuple[str, ...], tuple[str, ...]] | None = None
 
     # -- building
 
@@ -71,7 +96,7 @@ class Graph:
         base = len(self.nodes) << KEY_BITS
         keep = [c for c in (props if props is not None else df.columns)]
         rows = df.select((F.col(key).cast("bigint") + F.lit(base)).alias("id"), *keep)
-        return Graph(self.spark, [*self.nodes, NodeTable(labels, rows, key)], self.rels)
+        return Graph(self.spark, [*self.nodes, NodeTable(labels, rows, key, (base, base + (1 << KEY_BITS) - 1))], self.rels)
 
     def base(self, label: str) -> int:
         for i, t in enumerate(self.nodes):
@@ -111,6 +136,25 @@ class Graph:
     def types(self) -> list[str]:
         return sorted({t.type for t in self.rels})
 
+    def label_names(self) -> list[str]:
+        """Labels by number."""
+        return list(self.numbered[0]) if self.numbered else list(dict.fromkeys(x for t in self.nodes for x in t.labels))
+
+    def type_names(self) -> list[str]:
+        return list(self.numbered[1]) if self.numbered else list(dict.fromkeys(t.type for t in self.rels))
+
+    def label_id(self, name: str) -> int | None:
+        return _place(self.label_names(), name)
+
+    def label_name(self, number: int) -> str | None:
+        return _at(self.label_names(), number)
+
+    def type_id(self, name: str) -> int | None:
+        return _place(self.type_names(), name)
+
+    def type_name(self, number: int) -> str | None:
+        return _at(self.type_names(), number)
+
     def scan_nodes(self, tables: list[NodeTable], props: dict[str, Type] | None = None) -> DataFrame:
         """``id``, ``labels`` and properties of the given tables, in one schema."""
         props = merged_props(tables) if props is None else props
@@ -180,7 +224,7 @@ class Graph:
         return {} if row is None else {k: v for k, v in row.asDict(True).items() if v is not None and k not in ("src", "type", "dst")}
 
     def _node(self, node: int):
-        rows = self.all_nodes().filter(F.col("id") == node).take(1)
+        rows = self.scan_nodes([t for t in self.nodes if t.may_hold(node)]).filter(F.col("id") == node).take(1)
         return rows[0] if rows else None
 
     def _edge(self, src: int, rel: str, dst: int):
@@ -194,28 +238,32 @@ class Graph:
         row = self._node(node)
         return [] if row is None else list(row["labels"])
 
-    def lookup_internal_id(self, label: str, ext: int) -> int | None:
-        """The id of the node with an external id among those of a label."""
-        for t in self.node_tables((label,)):
-            if t.ext and t.ext in t.df.columns:
-                rows = t.df.filter(F.col(t.ext) == ext).select("id").take(1)
-                if rows:
-                    return rows[0]["id"]
-        return None
+    def node_label(self, node: int) -> str | None:
+        """The first of a node's labels."""
+        return next(iter(self.node_labels(node)), None)
+
+    def external_ids(self, label: str | None = None) -> DataFrame:
+        """``(id, ext, labels)`` of all nodes that have an external id, or of those with a label."""
+        out = self.spark.createDataFrame([], "id long, ext long, labels array<string>")
+        for t in self.node_tables((label,) if label else ()):
+            if t.ext:
+                names = F.array(*map(F.lit, t.labels)).cast("array<string>")
+                out = out.unionByName(t.df.select("id", F.col(f"`{t.ext}`").cast("bigint").alias("ext"), names.alias("labels")))
+        return out
+
+    def lookup_internal_id(self, ext: int, label: str | None = None) -> int | None:
+        """The id of the node with an external id; of the smallest, where labels have external ids of their own."""
+        return self.external_ids(label).filter(F.col("ext") == ext).agg(F.min("id")).collect()[0][0]
 
     def resolve_external(self, node: int) -> int | None:
-        for t in self.nodes:
-            if t.ext and t.ext in t.df.columns:
-                rows = t.df.filter(F.col("id") == node).select(t.ext).take(1)
-                if rows:
-                    return rows[0][0]
-        return None
+        some = Graph(self.spark, [t for t in self.nodes if t.may_hold(node)])
+        return some.external_ids().filter(F.col("id") == node).agg(F.min("ext")).collect()[0][0]
 
     def node_count(self, label: str | None = None) -> int:
-        return sum(t.df.count() for t in self.node_tables((label,) if label else ()))
+        return _total([t.df for t in self.node_tables((label,) if label else ())])
 
     def edge_count(self, rel: str | None = None) -> int:
-        return sum(t.df.count() for t in self.rel_tables((rel,) if rel else ()))
+        return _total([t.df for t in self.rel_tables((rel,) if rel else ())])
 
     def out_degree(self, rel: str | None = None) -> DataFrame:
         return self.neighbors(rel=rel).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..errors import StorageError
+
 
 class Folder:
     """A folder by path or URL; files are read whole, replaced in one step, or made only if they aren't there."""
@@ -54,15 +55,33 @@ class Folder:
         how[0] = fs.Options.Rename.OVERWRITE
         fs.FileContext.getFileContext(self.full.toUri(), self.conf).rename(self._path(new), self._path(name), how)
 
-    def create(self, name: str) -> bool:
-        """Make an empty file; false if it is there already."""
-        return bool(self.fs.createNewFile(self._path(name)))
+    def create(self, name: str, text: str = "") -> bool:
+        """Make a file, whole, in one step; false if it is there already."""
+        new = f".{name}.{uuid.uuid4().hex}"
+        self._write(new, text, False)
+        fs = self.jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(self.full.toUri(), self.conf).rename(self._path(new), self._path(name), how)
+            return True
+        except Py4JJavaError as e:
+            self.delete(new)
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+
+    def names(self) -> list[str]:
+        """What lies in the folder."""
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.full)) if self.fs.exists(self.full) else []
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share; a local one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lodegraph-checkpoints')}"
+    """A new path in the folder all executors share, ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise StorageError("spark.checkpoint.dir names no shared folder")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
