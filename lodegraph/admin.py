@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,38 @@ def check_graph(g: Graph) -> DataFrame:
         report("DuplicateEdge", t.type, t.df.groupBy("src", "dst").count().filter("count > 1"))
         for end in ("src", "dst"):
             report("OrphanEdge", f"{t.type}.{end}", t.df.filter(f"{end} is not null").join(ids.select(F.col("id").alias(end)), end, "left_anti"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionAll, found)
+
+
+def repair_store(spark: SparkSession, path: str) -> int:
+    """Publish a version without damaged rows, if there are any; returns the current version.
+
+    Nodes without an id or with one that another has, and relationships without an end, with an end that is no node, or
+    that stand there twice, go; tables without such rows are carried over.  Which of two equal ids stays is not defined.
+    """
+    store = Store(spark, path)
+    with store.begin() as t:
+        bad = {(r["kind"], r["detail"].rpartition(".")[0] or r["detail"]) for r in check_graph(t.graph).collect()}
+        if not {k for k, _ in bad} & {"NullNodeId", "DuplicateNodeId", "NullEdgeEnd", "DuplicateEdge", "OrphanEdge"}:
+            return t.manifest["version"]
+        m, nodes, rels, ids = t.manifest, [], [], None
+        for i, e in enumerate(m["nodes"]):
+            df = store._frame(e)
+            if {k for k, _ in bad} & {"NullNodeId", "DuplicateNodeId"}:
+                df = df.filter("id is not null").dropDuplicates(["id"])
+                df = df if ids is None else df.join(ids, "id", "left_anti")
+                e = t._written(e, df, f"nodes-{i}")
+            nodes.append(e)
+            own = store._frame(e).select("id")
+            ids = own if ids is None else ids.unionAll(own)
+        for i, e in enumerate(m["rels"]):
+            if any(d == e["type"] for _, d in bad) and ids is not None:
+                df = store._frame(e).dropDuplicates(["src", "dst"])
+                for end in ("src", "dst"):
+                    df = df.join(ids.select(F.col("id").alias(end)), end, "left_semi")
+                e = t._written(e, df, f"rels-{i}")
+            rels.append(e)
+        return t._finish(nodes, rels)
 
 
 def check_store(spark: SparkSession, path: str) -> DataFrame:
@@ -48,10 +78,7 @@ def check_store(spark: SparkSession, path: str) -> DataFrame:
     try:
         store = Store(spark, path)
         m = store.manifest()
-        from .sources.catalog import NodeTable, RelTable
-
-        g = Graph(spark, [NodeTable(tuple(e["labels"]), store._frame(e)) for e in m["nodes"]], [RelTable(e["type"], tuple(e["source"]), tuple(e["target"]), store._frame(e)) for e in m["rels"]])
-        return check_graph(g)
+        return check_graph(store._graph(m))
     except GraphError as e:
         return spark.createDataFrame([("UnreadableStore", str(e), 1)], SCHEMA)
     except Exception as e:  # Spark's own errors for missing tables

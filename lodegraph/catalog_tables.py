@@ -39,6 +39,18 @@ def opened(spark: SparkSession, folder: str) -> Graph:
     return star_graph(spark, folder)
 
 
+def text_graph(spark: SparkSession, folder: str) -> Graph:
+    """Documents, pages and the turns of conversations, each turn with a relationship to the next."""
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    key = (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("key")
+    turns = read("conversations").select("*", key)
+    g = Graph(spark).add_nodes("Document", read("documents"), "doc_id").add_nodes("Page", read("pages"), "page_id")
+    g = g.add_nodes("Turn", turns, "key", ["conv_id", "turn", "role", "text"])
+    there = read("conversations").select(key)
+    steps = turns.select("key", (F.col("key") + 1).alias("next")).join(there.select(F.col("key").alias("next")), "next", "left_semi")
+    return g.add_rels("NEXT", steps, ("Turn", "key"), ("Turn", "next"))
+
+
 def ring_graph(spark: SparkSession, nodes: int, degree: int) -> Graph:
     """The benchmark's ring: node ``i`` has relationships to the ``degree`` nodes after it."""
     i = F.col("id")

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Row, SparkSession
 
-from .admin import check_store
+from .admin import check_store, repair_store
 from .errors import GraphError
 from .session import Session
 from .sources.store import Store
@@ -46,16 +46,49 @@ def show(df, out) -> None:
         out.write(json.dumps({c: plain(row[i]) for i, c in enumerate(df.columns)}, ensure_ascii=False) + "\n")
 
 
+HELP = """:param NAME VALUE  set a parameter to a JSON value or quoted text
+:params            show the parameters
+:unparam NAME      forget one
+:clearparams       forget all
+:help              show this
+:exit              leave"""
+
+
+def command(text: str, params: dict, out) -> bool:
+    """Do what a line with a colon says; false to leave."""
+    word, _, rest = text.partition(" ")
+    name, _, value = rest.strip().partition(" ")
+    if word in (":quit", ":exit"):
+        return False
+    if word == ":param" and name and value.strip():
+        value = value.strip()
+        quoted = len(value) > 1 and value[0] == value[-1] == "'"
+        params |= params_of(json.dumps({name: value[1:-1] if quoted else json.loads(value)}))
+    elif word == ":params":
+        out.write(json.dumps(params, sort_keys=True) + "\n")
+    elif word == ":unparam" and name:
+        params.pop(name, None)
+    elif word == ":clearparams":
+        params.clear()
+    elif word == ":help":
+        out.write(HELP + "\n")
+    else:
+        raise GraphError(f"no command {text!r}; :help shows them")
+    return True
+
+
 def repl(spark: SparkSession, store: Store, extended: bool, source, out) -> None:
+    params: dict = {}
     for line in source:
         text = line.strip()
-        if text in (":quit", ":exit"):
-            return
-        if text:
-            try:
-                run(store, text, {}, extended, out)
-            except GraphError as e:
-                out.write(f"error: {e}\n")
+        try:
+            if text.startswith(":"):
+                if not command(text, params, out):
+                    return
+            elif text:
+                run(store, text, params, extended, out)
+        except (GraphError, ValueError) as e:
+            out.write(f"error: {e}\n")
 
 
 def run(store: Store, text: str, params: dict, extended: bool, out) -> None:
@@ -69,7 +102,7 @@ def run(store: Store, text: str, params: dict, extended: bool, out) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
     out = out or sys.stdout
     parser = argparse.ArgumentParser(prog="lodegraph")
-    parser.add_argument("command", choices=["query", "write", "repl", "check"])
+    parser.add_argument("command", choices=["query", "write", "repl", "check", "repair", "vacuum"])
     parser.add_argument("graph", help="folder of the stored graph")
     parser.add_argument("text", nargs="?", help="the query")
     parser.add_argument("--file", help="a file with the query")
@@ -82,7 +115,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             bad = check_store(spark, args.graph)
             show(bad, out)
             return int(not bad.isEmpty())
+        if args.command == "repair":
+            out.write(json.dumps({"version": repair_store(spark, args.graph)}) + "\n")
+            return 0
         store = Store.open(spark, args.graph)
+        if args.command == "vacuum":
+            out.write(json.dumps({"count": store.vacuum()}) + "\n")
+            return 0
         if args.command == "repl":
             repl(spark, store, args.extended, sys.stdin, out)
             return 0

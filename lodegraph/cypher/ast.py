@@ -155,6 +155,7 @@ class Item:
 class Match:
     patterns: tuple[Pattern, ...]
     optional: bool = False
+    where: Expr | None = None  # of an optional match: what its rows must meet
 
 
 @dataclass(frozen=True)

@@ -21,6 +21,10 @@ class QueryRuntimeError(GraphError):
         super().__init__(f"runtime error: {message}")
 
 
+class ResourceLimitExceeded(GraphError):
+    """A query that took more than it may."""
+
+
 class NotFound(GraphError):
     """A node, edge, label or graph that isn't there."""
 

@@ -392,14 +392,38 @@ class Planner:
         """OPTIONAL MATCH: the pattern's rows, or one with nulls."""
         if state.df is None:
             state = State(self.graph.spark.range(1).select(), Scope(), [], ["ReturnOne"])
-        keys = self.identity(state)
-        inner = State(state.df.dropDuplicates(keys) if keys else state.df.limit(1), state.scope, state.order, [])
-        for p in clause.patterns:
-            inner = self.pattern(inner, p)
-        fresh = [c for c in inner.df.columns if c not in state.df.columns]
+        at = self.hinge(state, clause.patterns, clause.where)
+        keys = [state.scope.entities[at].column("id")] if at else self.identity(state)
+        inner = self.inner(state, clause.patterns, clause.where, at, keys)
+        fresh = [c for n, e in inner.scope.entities.items() if n not in state.scope.entities for c in self.columns_of(inner, n)] if at else [c for c in inner.df.columns if c not in state.df.columns]
         right = inner.df.select(*[ref(k).alias(f"{k}|other") for k in keys], *map(ref, fresh))
-        df = state.df.join(right, self.same(keys), "left").drop(*[f"{k}|other" for k in keys])
-        return State(df, inner.scope, [*state.order, *[c for c in inner.order if c in fresh]], [*state.steps, f"Optional({', '.join(inner.steps)})"])
+        df = state.df.join(right, self.same(keys, bool(at)), "left").drop(*[f"{k}|other" for k in keys])
+        scope = inner.scope
+        if at:
+            scope = state.scope.copy()
+            scope.entities |= {n: e for n, e in inner.scope.entities.items() if n not in scope.entities}
+        return State(df, scope, [*state.order, *[c for c in inner.order if c in fresh]], [*state.steps, f"Optional({', '.join(inner.steps)})"])
+
+    def hinge(self, state: State, patterns: tuple, where: A.Expr | None) -> str | None:
+        """The one bound node through which a pattern hangs on the rows before it, if nothing else ties them."""
+        if len(patterns) != 1:
+            return None
+        p = patterns[0]
+        names = [n.var for n in p.nodes if n.var] + [r.var for r in p.rels if r.var]
+        bound = [n for n in names if n in state.scope.entities or n in state.scope.values]
+        read = {e.name for e in walk((patterns, where)) if isinstance(e, A.Var)}
+        free = {e.var for e in walk((patterns, where)) if isinstance(e, (A.NodePattern, A.RelPattern)) and e.var}
+        outer = (read | free) & {*state.scope.entities, *state.scope.values}
+        if len(bound) == 1 and outer <= set(bound) and bound[0] in {n.var for n in p.nodes} and state.scope.entities[bound[0]].kind == "node":
+            return bound[0]
+        return None
+
+    def inner(self, state: State, patterns: tuple, where: A.Expr | None, at: str | None, keys: list[str]) -> State:
+        """The patterns' rows: by themselves, where they hang on one node, or from the distinct bindings of the rows before."""
+        out = State() if at else State(state.df.dropDuplicates(keys) if keys else state.df.limit(1), state.scope, state.order, [])
+        for p in patterns:
+            out = self.pattern(out, p)
+        return out if where is None else self.where(out, where)
 
     def identity(self, state: State) -> list[str]:
         """The columns that tell the bindings of a row; equal ones have equal matches."""
@@ -408,10 +432,12 @@ class Planner:
             out += [e.column("id")] if e.kind == "node" else [e.column(x) for x in ("src", "type", "dst")]
         return out + [f"{n}|value" for n in state.scope.values if f"{n}|value" in state.df.columns]
 
-    def same(self, keys: list[str]) -> Column:
+    def same(self, keys: list[str], plain: bool = False) -> Column:
+        """``plain``: a null matches nothing."""
         test = F.lit(True)
         for k in keys:
-            test = test & ref(k).eqNullSafe(ref(f"{k}|other"))
+            other = ref(f"{k}|other")
+            test = test & (ref(k) == other if plain else ref(k).eqNullSafe(other))
         return test
 
     # -- filters
@@ -432,13 +458,13 @@ class Planner:
         return State(state.df.filter(V.truth(v)), state.scope, state.order, [*state.steps, "Filter"])
 
     def exists(self, state: State, e: A.Exists, negated: bool) -> State:
-        keys = self.identity(state)
-        inner = State(state.df.dropDuplicates(keys) if keys else state.df.limit(1), state.scope, state.order, [])
-        inner = self.match(inner, A.Match(e.patterns))
-        if e.where is not None:
-            inner = self.where(inner, e.where)
-        right = inner.df.select(*[ref(k).alias(f"{k}|other") for k in keys]).distinct()
-        df = state.df.join(right, self.same(keys), "left_anti" if negated else "left_semi")
+        self.check_roles(state, e.patterns)
+        at = self.hinge(state, e.patterns, e.where)
+        keys = [state.scope.entities[at].column("id")] if at else self.identity(state)
+        inner = self.inner(state, e.patterns, e.where, at, keys)
+        right = inner.df.select(*[ref(k).alias(f"{k}|other") for k in keys])
+        right = right if at else right.distinct()
+        df = state.df.join(right, self.same(keys, bool(at)), "left_anti" if negated else "left_semi")
         return State(df, state.scope, state.order, [*state.steps, "AntiJoin" if negated else "SemiJoin"])
 
     def unwind(self, state: State, clause: A.Unwind) -> State:
@@ -521,6 +547,7 @@ class Planner:
         """Items without an aggregate are the grouping keys."""
         c = self.compiler(state)
         keys, sums, scope = [], [], Scope()
+        made: list[Column] = []
         for name, expr in named:
             calls = [e for e in walk(expr) if isinstance(e, A.Call) and e.name in AGGREGATES]
             if not calls:
@@ -535,10 +562,12 @@ class Planner:
                     scope.values[name] = Value(v.type, ref(f"{name}|value"))
             else:
                 agg = AggregateCompiler(state.scope, self.params, self.extended)
+                agg.made = made
                 v = agg(expr)
                 sums.append(v.col.alias(f"{name}|value"))
                 scope.values[name] = Value(v.type, ref(f"{name}|value"))
-        df = state.df.groupBy(*keys).agg(*sums) if keys else state.df.agg(*sums)
+        rows = state.df.select("*", *made) if made else state.df
+        df = rows.groupBy(*keys).agg(*sums) if keys else rows.agg(*sums)
         return State(df, scope, [], [*state.steps, f"Aggregate({', '.join(n for n, _ in named)})"])
 
     def finish(self, state: State, p: A.Projection, names: list[str], named: list) -> State:
@@ -625,7 +654,9 @@ def fold(e: A.Expr, params: dict) -> object:
 
 
 class AggregateCompiler(Compiler):
-    """Expressions over aggregates."""
+    """Expressions over aggregates; ``made``: columns that aggregates ask for by name."""
+
+    made: list[Column]
 
     def _call(self, e: A.Call) -> Value:
         if e.name not in AGGREGATES:
@@ -654,7 +685,9 @@ class AggregateCompiler(Compiler):
             raise QuerySyntaxError(f"NonConstantExpression ({e.name})")
         if e.name == "percentilecont":
             return Value(FLOAT, F.percentile(col, F.lit(float(share.const))))
-        return Value(v.type, F.percentile_approx(col, F.lit(float(share.const)), F.lit(1_000_000)))
+        name = f"{e.name}|{len(self.made)}"
+        self.made.append(col.alias(name))
+        return Value(v.type, F.expr(f"percentile_disc({float(share.const)!r}) within group (order by `{name}`)").cast(V.spark_type(v.type)))
 
 
 __all__ = ["BOOL", "Planner", "State", "conjuncts", "fold", "used_properties", "walk"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stored_queries
 from .catalog_tables import opened, ring_graph
 from .session import Session
 
@@ -131,7 +132,12 @@ _add("temporal_maps", "RETURN date({year: 2020, month: 2}) AS a, date({year: 202
      "select '2020-02-01' a, '2020-01-29' b, '2020-04-03' c, '2020-01-01T05:00:00.007' d, '2020-01-01T00:00+01:00[Europe/Stockholm]' e, '03:00-05:00' f")
 _add("duration_forms", "RETURN duration('P1Y2M3DT4H5M6.5S') AS a, duration({days: 1.5}) AS b, duration({months: 14}).years AS c, duration('PT90M').hours AS d, duration('P1D') + duration('PT1H') AS e, duration('P2DT2H') * 2 AS f, duration('P3D') / 2 AS g, duration({}) AS h, duration.between(date('2020-01-31'), date('2021-03-01')) AS i, duration.between(date('2021-03-01'), date('2020-01-31')) AS j",
      "select 'P1Y2M3DT4H5M6.5S' a, 'P1DT12H' b, cast(1 as bigint) c, cast(1 as bigint) d, 'P1DT1H' e, 'P4DT4H' f, 'P1DT12H' g, 'PT0S' h, 'P1Y1M1D' i, 'P-1Y-1M-1D' j")
+_add("comments", "/* nations */ MATCH (n:Nation) // by name\n RETURN n.n_name AS n_name; what follows is not read", "select n_name from nation")
 # -- beyond the basic language
+_add("return_star", "MATCH (n:Nation)-[:IN_REGION]->(r) WITH n.n_name AS n_name, r.r_name AS r_name RETURN *", "select n_name, r_name from nation join region on n_regionkey = r_regionkey", extended=True)
+_add("x_varlen_all", "MATCH (c:Supplier)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.s_suppkey AS c, x.n_name AS n, x.r_name AS r",
+     """select s_suppkey c, n_name n, null as r from supplier join nation on s_nationkey = n_nationkey
+     union all select s_suppkey, null, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""", extended=True)
 _add("x_count", "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN count(*) AS n, count(DISTINCT c.c_mktsegment) AS k", "select count(*) n, count(distinct c_mktsegment) k from customer join orders on o_custkey = c_custkey", extended=True)
 _add("x_group", "MATCH (c:Customer)-[:FROM_NATION]->(n:Nation) RETURN n.n_name AS n_name, count(*) AS k, sum(c.c_acctbal) AS s, avg(c.c_acctbal) AS a, min(c.c_acctbal) AS lo, max(c.c_acctbal) AS hi",
      "select n_name, count(*) k, sum(c_acctbal) s, avg(c_acctbal) a, min(c_acctbal) lo, max(c_acctbal) hi from customer join nation on c_nationkey = n_nationkey group by 1", extended=True)
@@ -140,19 +146,20 @@ _add("x_percentile", "MATCH (c:Customer) RETURN percentileCont(c.c_acctbal, 0.25
 _add("x_distinct", "MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS s", "select distinct c_mktsegment s from customer", extended=True)
 _add("x_order", "MATCH (c:Customer) RETURN c.c_name AS c_name, c.c_acctbal AS b ORDER BY b DESC SKIP 3 LIMIT 5", "select c_name, c_acctbal b from customer order by b desc limit 5 offset 3", extended=True)
 _add("x_with", "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(*) AS k WHERE k >= 15 MATCH (c)-[:FROM_NATION]->(n) RETURN n.n_name AS n_name, k", "select n_name, k from (select o_custkey, count(*) k from orders group by 1 having count(*) >= 15) join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey", extended=True)
-_add("x_optional", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE c.c_custkey < 50 RETURN c.c_custkey AS c, o.o_orderkey AS o", "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey where c_custkey < 50", extended=True)
+_add("x_optional", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 100000 AND c.c_mktsegment = 'BUILDING' RETURN c.c_custkey AS c, o.o_orderkey AS o",
+     "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey and o_totalprice > 100000 and c_mktsegment = 'BUILDING'", extended=True)
 _add("x_optional_all", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order {o_orderstatus: 'F'}) RETURN c.c_custkey AS c, o.o_orderkey AS o",
      "select c_custkey c, o_orderkey o from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F'", extended=True)
+_add("x_optional_two", "MATCH (c:Customer)-[:FROM_NATION]->(n) OPTIONAL MATCH (c)-[:PLACED]->(o)-[:CONTAINS]->(p:Part) WHERE p.p_size = 7 AND n.n_name = 'NATION_7' RETURN c.c_custkey AS c, p.p_partkey AS p",
+     """select c_custkey c, p_partkey p from customer left join (select distinct o_custkey, o_orderkey, p_partkey from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey where p_size = 7) on o_custkey = c_custkey
+     and c_nationkey in (select n_nationkey from nation where n_name = 'NATION_7')""", extended=True)
 _add("x_exists", "MATCH (s:Supplier) WHERE EXISTS { MATCH (s)-[:FROM_NATION]->(n:Nation) WHERE n.n_nationkey < 5 } RETURN s.s_name AS s_name", "select s_name from supplier where s_nationkey < 5", extended=True)
 _add("x_not_exists", "MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->(:Order) RETURN c.c_name AS c_name", "select c_name from customer where c_custkey not in (select o_custkey from orders)", extended=True)
 _add("x_unwind", "UNWIND range(1, 5) AS i MATCH (n:Nation) WHERE n.n_nationkey = i RETURN i, n.n_name AS n_name", "select cast(n_nationkey as bigint) i, n_name from nation where n_nationkey between 1 and 5", extended=True)
 _add("x_union", "MATCH (n:Nation) RETURN n.n_name AS x UNION MATCH (r:Region) RETURN r.r_name AS x", "select n_name x from nation union select r_name from region", extended=True)
 _add("x_union_all", "MATCH (n:Nation)-[:IN_REGION]->(r) RETURN r.r_name AS x UNION ALL MATCH (r:Region) RETURN r.r_name AS x", "select r_name x from nation join region on n_regionkey = r_regionkey union all select r_name from region", extended=True)
 _add("x_comprehension", "MATCH (p:Part) RETURN [w IN split(p.p_name, ' ') WHERE size(w) > 3 | toUpper(w)] AS ws", "select list_transform(list_filter(string_split(p_name, ' '), lambda w: length(w) > 3), lambda w: upper(w)) ws from part", extended=True)
-_add("x_varlen", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) WHERE c.c_custkey < 100 RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
-     """select c_custkey c, n_name n, null as r from customer join nation on c_nationkey = n_nationkey where c_custkey < 100
-     union all select c_custkey, null, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey < 100""", extended=True)
-_add("x_varlen_all", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
+_add("x_varlen", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
      """select c_custkey c, n_name n, null as r from customer join nation on c_nationkey = n_nationkey
      union all select c_custkey, null, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""", extended=True)
 
@@ -235,6 +242,8 @@ OTHERS: dict[str, tuple[Callable, str]] = {
         from (select r_name, row_number() over (order by r_regionkey) - 1 as k from region) where r_name <> 'ASIA'"""),
 }
 
+OTHERS |= stored_queries.OTHERS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _cypher(text, params, extended) for k, (text, _, params, extended) in CYPHER.items()} | {k: f for k, (f, _) in OTHERS.items()}
 ORACLE_SQL: dict[str, str] = {k: v[1] for k, v in CYPHER.items()} | {k: sql for k, (_, sql) in OTHERS.items()}
 
