@@ -89,6 +89,8 @@ class Session:
             if timer:
                 timer.cancel()
             spark.sparkContext.removeJobTag(tag)
+        if late.is_set():  # what the driver itself evaluated could not be stopped
+            raise ResourceLimitExceeded(f"it took more than {options.soft_timeout_ms} ms")
         if options.max_rows is not None and len(found) > options.max_rows:
             raise ResourceLimitExceeded(f"it has more than {options.max_rows} rows")
         return found
