@@ -45,6 +45,8 @@ HEAD_WORDS, HEAD_PAIRS = 1 << 19, 1 << 20
 #: Packed blocks by range of hashes: pairs of documents (kind 0), pairs of the model (1), sums of documents (2).
 FIXED = 2.0**26
 BLOCKS = "shard int, kind int, block binary"
+#: Pairs of the model in one range, about, at most.
+RANGE_PAIRS = 8_000_000
 #: Tokens a task gathers before it passes on their counts.
 GATHER = 2_000_000
 START, END = np.int64(xxhash.xxh3_64_intdigest(b"\x00start") - (1 << 63)), np.int64(xxhash.xxh3_64_intdigest(b"\x00end") - (1 << 63))
@@ -187,10 +189,14 @@ class Model:
     head_words: DataFrame
     head_pairs: DataFrame | None
     table: str
+    n_pairs: int
 
     def close(self) -> None:
         """Drop the table of pairs; what :func:`score` has returned doesn't need it."""
-        self.words.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+        spark = self.words.sparkSession
+        where = spark.sql(f"DESCRIBE FORMATTED {self.table}").filter("col_name = 'Location'").collect()[0]["data_type"]
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        C.remove(spark, where)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -213,19 +219,26 @@ def fit(docs: DataFrame) -> Model:
     def p1(c):
         return F.lit(scale / max(n, 1)) * _discount(c, d1) * c
 
-    top = _head(words, HEAD_WORDS)
+    # the head's words are numbered, so that most pairs are stored with a short number instead of a hash
+    top = _head(words, HEAD_WORDS).select("w", F.col("c").alias("cw")).toArrow().sort_by("w")
+    top = C.settle(spark.createDataFrame(top.append_column("r", pa.array(np.arange(top.num_rows, dtype=np.int32)))), "katz-head")
     parts = C.shuffle_partitions(spark)
     pairs = _counted(docs, True).repartition(parts, "h").groupBy("h", "w").agg(F.sum("c").alias("c"))
     name = f"katz_pairs_{uuid.uuid4().hex}"
     # the rows already lie by the hash of h, as the buckets do: each task writes one of them
-    known = pairs.join(F.broadcast(top.select("w", F.col("c").alias("cw"))), "w", "left").select("h", "w", "c", "cw")
-    known.write.option("compression", "zstd").bucketBy(parts, "h").sortBy("h", "w").saveAsTable(name, format="parquet")
+    known = pairs.join(F.broadcast(top.select("w", "r")), "w", "left").select("h", "r", F.when(F.col("r").isNull(), F.col("w")).alias("w"), "c")
+    known.write.option("compression", "zstd").option("path", C.fresh_path(spark, "katz-pairs")).bucketBy(parts, "h").sortBy("h", "r").saveAsTable(name, format="parquet")
     del pairs, known
     release(spark)
     table = spark.table(name)
+    n_pairs = table.count()
     d2 = discounts(_count_of_counts(table))
-    with_head = table.filter("cw is not null").select("h", "w", "c", p1(F.col("cw")).alias("p"))
-    others = table.filter("cw is null").select("h", "w", "c").join(words.select("w", F.col("c").alias("cw")), "w")
+
+    def of_head(rows: DataFrame) -> DataFrame:
+        return rows.filter("r is not null").select("h", "r", "c").join(F.broadcast(top), "r").select("h", "w", "c", p1(F.col("cw")).alias("p"))
+
+    with_head = of_head(table)
+    others = table.filter("r is null").select("h", "w", "c").join(words.select("w", F.col("c").alias("cw")), "w")
     others = C.settle(others.select("h", "w", "c", p1(F.col("cw")).alias("p")), "katz-rare-pairs")
     sums = [F.sum("c").alias("ch"), F.sum(_discount(F.col("c"), d2) * F.col("c")).alias("kept"), F.sum("p").alias("lower"), F.count(F.lit(1)).alias("types")]
     by_history = with_head.groupBy("h").agg(*sums).unionByName(others.groupBy("h").agg(*sums))
@@ -234,15 +247,17 @@ def fit(docs: DataFrame) -> Model:
     half = F.col("kept") > F.col("ch") * (1 - 1e-9)
     left = F.when(half, 0.5 * F.col("types") / F.col("ch")).otherwise(1 - F.col("kept") / F.col("ch"))
     loga = F.log10(left) - F.log10(F.greatest(1 - F.col("lower"), F.lit(unknown)))
-    histories = C.settle(by_history.select("h", "ch", half.alias("half"), loga.alias("loga")), "katz-histories")
+    with setting(spark, "spark.sql.unionOutputPartitioning", "false"):  # a union with a bucketed table isn't laid together by bucket
+        histories = C.settle(by_history.select("h", "ch", half.alias("half"), loga.alias("loga")), "katz-histories")
     unigrams = words.join(histories.select(F.col("h").alias("w"), "loga"), "w", "full")
     unigrams = C.settle(unigrams.select("w", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.log10(p1(F.col("c"))), F.lit(0.0)).alias("logp"), F.coalesce("loga", F.lit(0.0)).alias("loga")), "katz-unigrams")
     head_words = _head(unigrams, HEAD_WORDS).unionByName(unigrams.filter(F.col("w").isin(int(START), int(END)))).dropDuplicates(["w"])
-    model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None, name)
-    model.head_pairs = corrections(_head(table, HEAD_PAIRS).filter("cw is not null").select("h", "w", "c", p1(F.col("cw")).alias("p")), histories, d2)
+    model = Model(unigrams, [with_head, others], histories, n, v, float(np.log10(unknown)), head_words, None, name, n_pairs)
+    model.head_pairs = corrections(of_head(_head(table, HEAD_PAIRS)), histories, d2)
     rare = others.repartition(parts, "h")
     C.discard(words)
     model.seen = [corrections(part, histories, d2) for part in (with_head, rare)]
+    release(spark)
     return model
 
 
@@ -253,17 +268,20 @@ def corrections(pairs: DataFrame, histories: DataFrame, d: np.ndarray) -> DataFr
 
 
 @contextmanager
-def by_some_keys(spark):
-    """Let tables that lie partitioned by the history alone be joined on history and word as they lie."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
+def setting(spark, key: str, value: str):
     old = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, old)
 
 
+def by_some_keys(spark):
+    """Let tables that lie partitioned by the history alone be joined on history and word as they lie."""
+    return setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def release(spark) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referred to."""
     gc.collect()
@@ -350,7 +368,8 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
         if held:
             yield flush(rk, ids, held)
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text")
+    # rows are numbered in the one pass that reads them: no two share a number
+    rows = docs.select(F.monotonically_increasing_id().alias("rk"), "doc_id", "text")
     return C.in_arrow(rows, run, BLOCKS)
 
 
@@ -361,6 +380,8 @@ def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
         g = np.concatenate([x for x, _ in held])
         order = np.argsort(g, kind="stable")
         g, delta = g[order], np.concatenate([x for _, x in held])[order]
+        if len(delta) and np.abs(delta).max() * FIXED >= 2**31:
+            raise OverflowError("a correction of 10 ** 32 can't be stored")
         cuts = _shards(g, shards)
         full = np.flatnonzero(np.diff(cuts)).tolist()
         block = [_packed([np.diff(g[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)), np.rint(delta[cuts[s] : cuts[s + 1]] * FIXED).astype("<i4").view("<u4")]) for s in full]
@@ -377,32 +398,39 @@ def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
         yield flush(held)
 
 
+def _range_table(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and corrections of one range."""
+    parts = [_unpacked(b) for b in blocks]
+    g = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(x[0], dtype=np.uint64) for x in parts]])
+    delta = np.concatenate([np.zeros(0), *[x[1].astype("<u4").view("<i4") / FIXED for x in parts]])
+    order = np.argsort(g, kind="stable")
+    return g[order], delta[order]
+
+
 def _joined(id_arrow: pa.DataType):
-    """Look the documents' pairs up in the model's, one range of hashes at a time; a partition holds a few ranges."""
+    """Look the documents' pairs up in the model's: blocks come by range, the model's before the documents', and one range's part of the model is held."""
     types = [pa.int64(), id_arrow, *[pa.int64()] * 4, pa.float64(), pa.float64()]
     names = ["rk", "doc_id", "w", "k", "n_tokens", "n_known", "base", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[dict[int, list[bytes]], dict[int, list[bytes]]] = ({}, {})
+        at, held, table = None, [], None
         for batch in batches:
             for shard, kind, block in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if kind == 2:
                     yield from pa.ipc.open_stream(block)
-                else:
-                    held[kind].setdefault(shard, []).append(block)
-        docs, model = held
-        for shard, blocks in docs.items():
-            table = [_unpacked(b) for b in model.pop(shard, [])]
-            if not table:
-                continue
-            g = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in table])
-            delta = np.concatenate([x[1].astype("<u4").view("<i4") for x in table]) / FIXED
-            order = np.argsort(g, kind="stable")
-            g, delta = g[order], delta[order]
-            for block in blocks:
+                    continue
+                if shard != at:
+                    at, held, table = shard, [], None
+                if kind == 1:  # the model's blocks of a range come first
+                    held.append(block)
+                    continue
+                if table is None:
+                    table, held = _range_table(held), []
                 steps, doc, k, rk = _unpacked(block)
-                at, hit = _find(g, np.cumsum(steps, dtype=np.uint64))
-                sums = np.bincount(doc.astype(np.int64), weights=np.where(hit, delta[at] * k, 0.0), minlength=len(rk))
+                found, hit = _find(table[0], np.cumsum(steps, dtype=np.uint64))
+                if not hit.any():
+                    continue
+                sums = np.bincount(doc.astype(np.int64), weights=np.where(hit, table[1][found] * k, 0.0), minlength=len(rk))
                 nulls = [pa.nulls(len(rk), t) for t in types[1:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array(rk.view(np.int64)), *nulls, pa.array(sums)], names=names)
 
@@ -414,7 +442,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``base_score`` adds ``log10((c+1)/(N+1*(V+1)))`` over the tokens, ``score`` is the model's log10 probability of the
     text.  A null or empty text is one end token.  Repeated rows get equal values; a null id stays null.  With an
-    untrained model every token is unknown.  Other columns of ``docs`` are not read.
+    untrained model every token is unknown.  Other columns of ``docs`` are not read.  A very long text is held whole, as the
+    hashes of its tokens.  Ties don't arise: no ranking is made.
     """
     spark = docs.sparkSession
     n, v = model.n, model.v
@@ -424,12 +453,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     order = np.argsort(g, kind="stable")
     head = spark.sparkContext.broadcast((words, [g[order], hp.column("delta").to_numpy()[order] if hp.num_rows else np.zeros(0)]))
     # a document has a row of sums for each range that holds pairs of it: ranges as large as a task can hold
-    shards, id_type = max(1, C.shuffle_partitions(spark) // 3), docs.schema["doc_id"].dataType
+    shards, id_type = max(1, C.shuffle_partitions(spark) // 3, -(-model.n_pairs // RANGE_PAIRS)), docs.schema["doc_id"].dataType
     with by_some_keys(spark):
         seen = model.seen[0].unionByName(model.seen[1])
         both = _gathered(docs, model, head, shards).unionByName(seen.mapInArrow(lambda batches: _model_blocks(batches, shards), BLOCKS))
         schema = f"rk long, doc_id {id_type.simpleString()}, w long, k long, n_tokens long, n_known long, base double, score double"
-        summed = C.settle(both.repartition(shards, "shard").mapInArrow(_joined(to_arrow_type(id_type)), schema), "katz-summed")
+        summed = C.settle(both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("kind") % 2 == 0).mapInArrow(_joined(to_arrow_type(id_type)), schema), "katz-summed")
     release(spark)
     own = summed.filter("n_tokens is not null").select("rk", "doc_id", "n_tokens", "n_known", "base", "score")
     rare = summed.filter("w is not null").select("rk", "w", "k").join(model.words.filter("c > 0").select("w", "c", "logp", "loga"), "w", "left")
@@ -441,12 +470,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("base"),
         F.sum(F.col("k") * (F.coalesce("logp", unknown) + F.coalesce("loga", F.lit(0.0)))).alias("score"),
     )
-    parts = own.select("rk", F.lit(1).alias("m"), "n_tokens", "n_known", "base", "score")
-    parts = parts.unionByName(rare.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), "n_known", "base", "score"))
-    parts = parts.unionByName(found.select("rk", F.lit(0).alias("m"), none.cast("long").alias("n_tokens"), none.cast("long").alias("n_known"), none.cast("double").alias("base"), "score"))
-    total = parts.groupBy("rk").agg(F.sum("m").alias("m"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    # rows alike in id and text were summed together: each gets its share
-    share = lambda c: (F.expr(f"{c} div m") if c.startswith("n_") else F.col(c) / F.col("m")).alias(c)
-    total = total.select("rk", share("n_tokens"), share("n_known"), share("base"), share("score"))
+    parts = own.select("rk", "n_tokens", "n_known", "base", "score")
+    parts = parts.unionByName(rare.select("rk", none.cast("long").alias("n_tokens"), "n_known", "base", "score"))
+    parts = parts.unionByName(found.select("rk", none.cast("long").alias("n_tokens"), none.cast("long").alias("n_known"), none.cast("double").alias("base"), "score"))
+    total = parts.groupBy("rk").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     rows = own.select("rk", "doc_id").join(total, "rk")
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
