@@ -1,18 +1,19 @@
 """Licence scan: a trained paragraph classifier whose predictions are confirmed against templates.
 
-A paragraph (a line with a word) is described by the word unigrams and bigrams in it.  A
-sparse multinomial logistic regression gives the probability of each licence family and of
-none; it is fitted on the driver, on the templates below (with words left out at random),
-on fixed ordinary sentences and on a bounded sample of the corpus's own lines.  Cutoffs are
-calibrated on variants and lines kept out of the fit.  A paragraph is of a family if that
-family's probability reaches the cutoff *and* enough of the paragraph's n-grams stand in
-one of the family's templates; a paragraph that is probably a licence but meets neither is
-``unknown``.
-
-Scanning uses DataFrame functions only.  A paragraph cannot reach the cutoff without one of
+A paragraph is a line with a word, or a run of neighbouring lines that a notice is wrapped over.  It is described by the
+word unigrams and bigrams in it.  A sparse multinomial logistic regression gives the probability of each licence
+family and of none; it is fitted on the driver, on the templates below (with words left out at random), on fixed ordinary
+sentences and on a bounded sample of the corpus's own lines.  Cutoffs are calibrated on sources that the
+scoring fit has not seen, all copies and variants of a source being in one fold: that of a family on
+held-out templates and ordinary lines, that of the class ``unknown`` on whole families left out of a fit, as
+logistic calibration of the chance that a paragraph is a licence at all.  A paragraph is of a family if
+that family's probability reaches the cutoff *and* enough of the paragraph's n-grams stand in one of the
+family's templates; any other that reaches the second cutoff is ``unknown``.
+
+Scanning uses DataFrame functions only.  A paragraph cannot reach a cutoff without one of
 the model's *anchors*: the words outside the anchors have positive weights that, all of
-them together, would not lift any family to it.  Paragraphs without an anchor are
-therefore passed over, exactly, before their n-grams are looked up.
+them together, would not lift any family to it.  Lines without an anchor are
+therefore passed over, exactly, before their n-grams are looked up, and end a run.
 """
 
 from __future__ import annotations
@@ -100,6 +101,7 @@ class Classifier:
     weights: dict[str, list[float]]
     bias: list[float]
     cutoff: float
+    known: float
     anchors: list[str]
 
 
@@ -110,38 +112,51 @@ def _softmax(z: list[float]) -> list[float]:
     return [x / total for x in e]
 
 
-def train(lines: list[str], seed: int = 5, epochs: int = 25, rate: float = 0.3, sparsity: float = 2e-4) -> Classifier:
-    """Fit by stochastic gradient steps with soft thresholding; ``lines`` are the corpus's sample, taken as ordinary text
-    unless most of a line stands in a template."""
-    rng = random.Random(seed)
-    of_family = [set().union(*map(grams_of, TEMPLATES[f])) for f in FAMILIES]
+@dataclass
+class Source:
+    """A text with its variants: they are learned from, or scored, together."""
+
+    rows: list[set[str]]
+    label: int
+
+
+def sources_of(lines: list[str], rng: random.Random) -> list[Source]:
+    """Templates, ordinary sentences and distinct lines of the corpus; a line most of which stands in a template is left out."""
+    of_family = _grams_by_family()
 
     def variant(text: str) -> str:
         words = text.split()
         return " ".join(w for w in words if rng.random() > 0.08) or text
 
-    rows = [(grams_of(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for t in [t] * 3 + [variant(t) for _ in range(7)]]
-    plain = [grams_of(t) for t in [*ORDINARY * 3, *lines]]
-    rows += [(g, NONE) for g in plain if g and max(len(g & own) for own in of_family) < 0.5 * len(g)]
-    rng.shuffle(rows)
-    held, rows = rows[::6], [r for i, r in enumerate(rows) if i % 6]
-    vocabulary = set().union(*of_family)
-    weights: dict[str, list[float]] = {}
-    bias = [0.0] * (NONE + 1)
+    out = [Source([grams_of(t)] * 3 + [grams_of(variant(t)) for _ in range(7)], k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    plain = [Source([grams_of(t)] * 3, NONE) for t in ORDINARY] + [Source([grams_of(t)], NONE) for t in dict.fromkeys(lines)]
+    return out + [x for x in plain if x.rows[0] and max(len(x.rows[0] & own) for own in of_family) < 0.5 * len(x.rows[0])]
+
+
+def _grams_by_family() -> list[set[str]]:
+    return [set().union(*map(grams_of, TEMPLATES[f])) for f in FAMILIES]
 
-    def scores(grams: set[str]) -> list[float]:
-        z = list(bias)
-        for g in grams:
-            if g in weights:
-                z = [a + b for a, b in zip(z, weights[g], strict=True)]
-        return z
 
+def _probabilities(weights: dict[str, list[float]], bias: list[float], grams: set[str]) -> list[float]:
+    z = list(bias)
+    for g in grams:
+        if g in weights:
+            z = [a + b for a, b in zip(z, weights[g], strict=True)]
+    return _softmax(z)
+
+
+def fit(sources: list[Source], rng: random.Random, epochs: int, rate: float, sparsity: float) -> tuple[dict[str, list[float]], list[float]]:
+    """Weights and biases by stochastic gradient steps with soft thresholding."""
+    vocabulary = set().union(*[x.rows[0] for x in sources if x.label != NONE])
+    # an n-gram of no template tells nothing and has no weight
+    rows = [(g & vocabulary, x.label) for x in sources for g in x.rows]
+    weights: dict[str, list[float]] = {}
+    bias = [0.0] * (NONE + 1)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         rng.shuffle(rows)
         for grams, label in rows:
-            grams = grams & vocabulary  # an n-gram of no template tells nothing and has no weight
-            p = _softmax(scores(grams))
+            p = _probabilities(weights, bias, grams)
             d = [step * ((k == label) - x) for k, x in enumerate(p)]
             bias = [a + b for a, b in zip(bias, d, strict=True)]
             for g in grams:
@@ -149,11 +164,57 @@ def train(lines: list[str], seed: int = 5, epochs: int = 25, rate: float = 0.3,
                 for k, x in enumerate(d):
                     v = w[k] + x
                     w[k] = math.copysign(max(0.0, abs(v) - sparsity * step), v)
-    good = sorted(_softmax(scores(g))[k] for g, k in held if k != NONE)
-    bad = sorted(1 - _softmax(scores(g))[NONE] for g, k in held if k == NONE)
-    low, high = good[len(good) // 20] if good else 0.5, bad[len(bad) * 99 // 100] if bad else 0.5
-    cutoff = min(0.9, max(0.5, (low + high) / 2))
-    return Classifier(weights, bias, cutoff, _anchors(weights, bias, cutoff))
+    return weights, bias
+
+
+def train(lines: list[str], seed: int = 5, epochs: int = 25, rate: float = 0.3, sparsity: float = 2e-4, folds: int = 4) -> Classifier:
+    """The classifier of all sources, with cutoffs from fits that had not seen what they score; ``lines`` are the corpus's sample."""
+    rng = random.Random(seed)
+    sources = sources_of(lines, rng)
+    order = list(range(len(sources)))
+    rng.shuffle(order)
+    fold = {i: place % folds for place, i in enumerate(order)}
+    of_family: list[float] = []  # of held-out templates: their own family's probability
+    plain: list[float] = []  # of held-out ordinary lines: the probability of any licence
+    for k in range(folds):
+        model = fit([x for i, x in enumerate(sources) if fold[i] != k], rng, epochs // 2, rate, sparsity)
+        for i, x in enumerate(sources):
+            if fold[i] == k:
+                p = [_probabilities(*model, g) for g in x.rows]
+                if x.label == NONE:
+                    plain.append(1 - p[0][NONE])
+                else:
+                    of_family += [q[x.label] for q in p]
+    foreign: list[float] = []  # of families that the fit knew nothing of: the probability of any licence
+    for k in range(NONE):
+        model = fit([x for x in sources if x.label != k], rng, epochs // 2, rate, sparsity)
+        foreign += [1 - _probabilities(*model, x.rows[0])[NONE] for x in sources if x.label == k]
+    plain.sort()
+    of_family.sort()
+    high = plain[len(plain) * 99 // 100] if plain else 0.5
+    cutoff = min(0.9, max(0.5, (of_family[len(of_family) // 20] + high) / 2))
+    known = min(0.99, max(calibrated(foreign, plain), cutoff))
+    weights, bias = fit(sources, rng, epochs, rate, sparsity)
+    return Classifier(weights, bias, cutoff, known, _anchors(weights, bias, cutoff))
+
+
+def calibrated(licences: list[float], others: list[float], least: float = 0.8) -> float:
+    """The raw probability from which a paragraph is a licence with a chance of ``least``: Platt's logistic fit, both classes weighing the same."""
+    if not licences or not others:
+        return 0.5
+    logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    # Platt's targets: no certainty from few rows
+    rows = [(logit(p), (len(licences) + 1) / (len(licences) + 2), 0.5 / len(licences)) for p in licences]
+    rows += [(logit(p), 1 / (len(others) + 2), 0.5 / len(others)) for p in others]
+    a, b = 1.0, 0.0
+    for _ in range(500):
+        ga = gb = 0.0
+        for x, t, w in rows:
+            d = w * (t - 1 / (1 + math.exp(-max(-40.0, min(40.0, a * x + b)))))
+            ga, gb = ga + d * x, gb + d
+        a, b = max(0.05, a + 0.2 * ga), b + 0.5 * gb
+    x = (math.log(least / (1 - least)) - b) / a
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def _anchors(weights: dict[str, list[float]], bias: list[float], cutoff: float) -> list[str]:
@@ -187,7 +248,7 @@ def sampled_lines(docs: DataFrame, rows: int) -> list[str]:
 
 def _classified(words: Column, model: Classifier) -> Column:
     """``(licence, p, share, family)`` of a paragraph's words: the chance of any licence, and the best family's chance and share of n-grams."""
-    of_family = [set().union(*map(grams_of, TEMPLATES[f])) for f in FAMILIES]
+    of_family = _grams_by_family()
     vocabulary = sorted(set().union(*of_family))
     known = F.array(*map(F.lit, vocabulary))
     weight = [F.array(*[F.lit(float(model.weights.get(g, [0.0] * (NONE + 1))[k])) for g in vocabulary]) for k in range(NONE + 1)]
@@ -215,23 +276,45 @@ def _classified(words: Column, model: Classifier) -> Column:
     return C.let(grams, of)
 
 
+def _runs(lines: Column, anchors: Column) -> Column:
+    """Runs of neighbouring lines with an anchor, each an array of the lines' words."""
+    none = F.array().cast("array<array<string>>")
+    start = F.struct(F.array().cast("array<array<array<string>>>").alias("done"), none.alias("open"))
+    closed = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+
+    def step(s: Column, words: Column) -> Column:
+        hit = F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(words)).alias("open"))
+        return F.when(F.arrays_overlap(words, anchors), hit).otherwise(F.struct(closed(s).alias("done"), none.alias("open")))
+
+    return F.aggregate(lines, start, step, closed)
+
+
 def scan(docs: DataFrame, model: Classifier | None = None, sample_rows: int = 300, confirm: float = 0.6) -> DataFrame:
     """``(doc_id, n_paragraphs, n_licence, n_unknown, families)`` of every row of ``docs``.
 
-    ``n_licence`` paragraphs belong to the ``families`` (sorted, distinct), ``n_unknown`` are licence notices of no known
-    family.  A null or empty text has no paragraph; every row is scanned by itself, repeated ones included; a null
-    id stays null.  Other columns of ``docs`` are not read.  No row leaves its task.
+    ``n_paragraphs`` counts lines with a word.  ``n_licence`` paragraphs belong to the ``families`` (sorted, distinct),
+    ``n_unknown`` are licence notices of no known family; a run of lines none of which is of a family by itself, but which are
+    together, counts as one.  A null or empty text has no paragraph; every row is scanned by itself, repeated ones included; a null
+    id stays null.  Of families with equal probability the one with the larger share of n-grams counts, then the last by name.  A
+    very long text or line is scanned whole, within its row.  Other columns of ``docs`` are not read.  No row leaves its task.
     """
     model = model or train(sampled_lines(docs, sample_rows))
     text = F.coalesce(F.col("text"), F.lit(""))
     anchors = F.array(*map(F.lit, model.anchors)) if model.anchors else F.array().cast("array<string>")
     rows = docs.select("doc_id", F.filter(F.split(text, "\n"), lambda x: x.rlike(C.NO_WHITE)).alias("_lines"))
     words = F.transform("_lines", lambda x: F.array_remove(F.split(F.lower(x), _SPLIT), ""))
-    rows = rows.select("doc_id", F.size("_lines").cast("long").alias("n_paragraphs"), F.filter(words, lambda w: F.arrays_overlap(w, anchors)).alias("_words"))
-    found = F.filter(F.transform("_words", lambda w: _classified(w, model)), lambda x: x["licence"] >= model.cutoff)
-    rows = rows.select("doc_id", "n_paragraphs", found.alias("_found"))
+    rows = rows.select("doc_id", F.size("_lines").cast("long").alias("n_paragraphs"), _runs(words, anchors).alias("_runs"))
     sure = lambda x: (x["p"] >= model.cutoff) & (x["share"] >= confirm)
-    likely = lambda x: ~sure(x) & (x["share"] >= confirm / 2)
+
+    def of_run(run: Column) -> Column:
+        def together(lines: Column) -> Column:
+            one = C.let(_classified(F.flatten(run), model), lambda m: F.when(sure(m), F.array(m)).otherwise(lines))
+            return F.when((F.size(run) > 1) & ~F.exists(lines, sure), one).otherwise(lines)
+
+        return C.let(F.transform(run, lambda w: _classified(w, model)), together)
+
+    rows = rows.select("doc_id", "n_paragraphs", F.flatten(F.transform("_runs", of_run)).alias("_found"))
     families = F.array_sort(F.array_distinct(F.transform(F.filter("_found", sure), lambda x: x["family"])))
     count = lambda test: F.size(F.filter("_found", test)).cast("long")
-    return rows.select("doc_id", "n_paragraphs", count(sure).alias("n_licence"), count(likely).alias("n_unknown"), families.alias("families"))
+    unknown = lambda x: ~sure(x) & (x["licence"] >= model.known)
+    return rows.select("doc_id", "n_paragraphs", count(sure).alias("n_licence"), count(unknown).alias("n_unknown"), families.alias("families"))

@@ -153,6 +153,75 @@ def test_licences(spark):
     assert license_scan.scan(awkward(spark)).count() == 13
 
 
+def test_notices_wrapped_over_lines_are_seen_whole(spark):
+    model = license_scan.train([f"line {k} of an ordinary text about the sea and the hills {k * k}" for k in range(80)])
+    notice = license_scan.TEMPLATES["gpl"][1].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 4]) for i in range(0, len(notice), 4))
+    texts = [f"Some text.\n{wrapped}\nAnd more of it.", "Released under the MIT License.\nLicensed under CC BY 4.0.", "Licensed under the Zlib License.", "A word.\n\nof it"]
+    found = {r["doc_id"]: r for r in license_scan.scan(table(spark, texts), model).collect()}
+    assert found[0]["families"] == ["gpl"]
+    assert (found[1]["families"], found[1]["n_licence"]) == (["cc-by", "mit"], 2)
+    assert (found[2]["n_licence"], found[2]["n_unknown"]) == (0, 1)
+    assert (found[3]["n_paragraphs"], found[3]["n_licence"], found[3]["n_unknown"]) == (2, 0, 0)
+
+
+def scan_by_hand(model, text, confirm=0.6):
+    """The scan's rules on plain strings."""
+    own = license_scan._grams_by_family()
+
+    def judged(words):
+        grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}  # noqa: B905
+        p = license_scan._probabilities(model.weights, model.bias, grams)
+        best = max((p[k], len(grams & own[k]) / len(grams), f) for k, f in enumerate(license_scan.FAMILIES))
+        return best[2] if best[0] >= model.cutoff and best[1] >= confirm else "unknown" if 1 - p[-1] >= model.known else None
+
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    words = [[w for w in "".join(c if c.isalnum() else " " for c in x.lower()).split()] for x in lines]
+    runs, out = [[]], []
+    for w in words:
+        if set(w) & set(model.anchors):
+            runs[-1].append(w)
+        elif runs[-1]:
+            runs.append([])
+    for run in runs:
+        found = [judged(w) for w in run]
+        if len(run) > 1 and not set(found) - {None, "unknown"} and (whole := judged([x for w in run for x in w])) not in (None, "unknown"):
+            found = [whole]
+        out += [x for x in found if x]
+    sure = [x for x in out if x != "unknown"]
+    return len(lines), len(sure), len(out) - len(sure), sorted(set(sure))
+
+
+def test_scan_by_hand(spark):
+    model = license_scan.train(["an ordinary line of text", "one more line"])
+    rng = np.random.default_rng(6)
+    pool = [t for ts in license_scan.TEMPLATES.values() for t in ts] + license_scan.ORDINARY + ["of the text", "Licensed under the Sun License, version 4.", "", "2.0", "subject to the terms"]
+    texts = []
+    for _ in range(120):
+        words = " \n".join(pool[i] for i in rng.integers(0, len(pool), 3)).split(" ")
+        texts.append(" ".join(w + ("\n" if rng.random() < 0.06 else "") for w in words if rng.random() > 0.1))
+    found = {r["doc_id"]: r for r in license_scan.scan(table(spark, texts), model).collect()}
+    for k, text in enumerate(texts):
+        r = found[k]
+        assert (r["n_paragraphs"], r["n_licence"], r["n_unknown"], r["families"]) == scan_by_hand(model, text)
+
+
+def test_a_source_is_in_one_fold_whole(monkeypatch):
+    """What calibrates a fit is unknown to it: neither the text nor a variant of it is among its sources."""
+    seen = []
+    real = license_scan.fit
+    monkeypatch.setattr(license_scan, "fit", lambda sources, *args: (seen.append(list(sources)), real(sources, *args))[1])
+    license_scan.train(["the same line"] * 20 + ["another line"])
+    every = seen[-1]
+    assert sum(len(x.rows) == 1 and x.label == license_scan.NONE for x in every) == 2
+    for part in seen[:4]:
+        held = [x for x in every if not any(x is y for y in part)]
+        assert held and all(x is not y for x in held for y in part)
+    assert sum(len(every) - len(part) for part in seen[:4]) == len(every)
+    for k, part in enumerate(seen[4:-1]):
+        assert not any(x.label == k for x in part)
+
+
 def test_anchors_lose_no_paragraph(spark):
     model = license_scan.train([])
     of = lambda text: license_scan.grams_of(text)
