@@ -78,6 +78,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB's equivalents, where SQL can express the result.
 ORACLE_SQL: dict[str, str] = {
+    "op9_minhash": """
+        with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+        sets as (select doc_id, list_distinct(case when len(ws) < 5 then (case when len(ws) = 0 then [] else [array_to_string(ws, ' ')] end)
+            else list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) end) as grams from words),
+        sizes as (select doc_id, len(grams) as n from sets),
+        grams as (select doc_id, unnest(grams) as x from sets),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from grams a join grams b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * shared >= 85 * (s.n + t.n - shared)),
+        edges as (select a, b from links union all select b, a from links),
+        reach as (select doc_id as node, doc_id as root from sizes union select r.node, e.b from reach r join edges e on r.root = e.a),
+        least as (select node, min(root) as component_id from reach group by 1)
+        select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from sizes join least on node = doc_id""",
     "op1_line_dedup": """
         with docs as (select doc_id, coalesce(text, '') as text from documents),
         lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from docs),
