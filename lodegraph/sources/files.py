@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -79,9 +82,16 @@ class Folder:
         self.fs.delete(self._path(name), True)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share, ``spark.checkpoint.dir``."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; where none is set and driver and executors are one process, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise StorageError("spark.checkpoint.dir names no shared folder")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise StorageError("spark.checkpoint.dir names no shared folder")
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'lodegraph-checkpoints')}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
