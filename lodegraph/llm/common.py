@@ -9,6 +9,7 @@ these rules on UTF-8, which is why texts are handled as bytes in Python.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -24,11 +25,12 @@ NO_WHITE = "[^\\x20\\x09-\\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where none is set and all is one process (tests), a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         found = "file://" + os.path.join(tempfile.gettempdir(), "lodegraph-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
