@@ -135,7 +135,7 @@ _add("duration_forms", "RETURN duration('P1Y2M3DT4H5M6.5S') AS a, duration({days
 _add("comments", "/* nations */ MATCH (n:Nation) // by name\n RETURN n.n_name AS n_name; what follows is not read", "select n_name from nation")
 # -- beyond the basic language
 _add("return_star", "MATCH (n:Nation)-[:IN_REGION]->(r) WITH n.n_name AS n_name, r.r_name AS r_name RETURN *", "select n_name, r_name from nation join region on n_regionkey = r_regionkey", extended=True)
-_add("x_varlen_all", "MATCH (c:Supplier)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.s_suppkey AS c, x.n_name AS n, x.r_name AS r",
+_add("x_varlen", "MATCH (c:Supplier)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.s_suppkey AS c, x.n_name AS n, x.r_name AS r",
      """select s_suppkey c, n_name n, null as r from supplier join nation on s_nationkey = n_nationkey
      union all select s_suppkey, null, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""", extended=True)
 _add("x_count", "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN count(*) AS n, count(DISTINCT c.c_mktsegment) AS k", "select count(*) n, count(distinct c_mktsegment) k from customer join orders on o_custkey = c_custkey", extended=True)
@@ -159,7 +159,7 @@ _add("x_unwind", "UNWIND range(1, 5) AS i MATCH (n:Nation) WHERE n.n_nationkey =
 _add("x_union", "MATCH (n:Nation) RETURN n.n_name AS x UNION MATCH (r:Region) RETURN r.r_name AS x", "select n_name x from nation union select r_name from region", extended=True)
 _add("x_union_all", "MATCH (n:Nation)-[:IN_REGION]->(r) RETURN r.r_name AS x UNION ALL MATCH (r:Region) RETURN r.r_name AS x", "select r_name x from nation join region on n_regionkey = r_regionkey union all select r_name from region", extended=True)
 _add("x_comprehension", "MATCH (p:Part) RETURN [w IN split(p.p_name, ' ') WHERE size(w) > 3 | toUpper(w)] AS ws", "select list_transform(list_filter(string_split(p_name, ' '), lambda w: length(w) > 3), lambda w: upper(w)) ws from part", extended=True)
-_add("x_varlen", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
+_add("x_varlen_all", "MATCH (c:Customer)-[:FROM_NATION|IN_REGION*1..2]->(x) RETURN c.c_custkey AS c, x.n_name AS n, x.r_name AS r",
      """select c_custkey c, n_name n, null as r from customer join nation on c_nationkey = n_nationkey
      union all select c_custkey, null, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""", extended=True)
 

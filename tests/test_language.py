@@ -63,7 +63,7 @@ def test_values(graph, text, expected):
         ("MATCH (n) RETURN count(*)", "aggregation is outside"), ("RETURN 1 UNION RETURN 2", "UNION is outside"), ("MATCH (n) SET n:X", "SET of a label is outside"), ("MATCH (n) RETURN m", "UndefinedVariable (m)"), ("RETURN foo(1)", "UnknownFunction (foo)"),
         ("MATCH (n) RETURN n.a AS x, n.b AS x", "ColumnNameConflict"), ("RETURN *", "NoVariablesInScope"), ("MATCH (n) RETURN n LIMIT -1", "NegativeIntegerArgument"), ("MATCH (n) RETURN n LIMIT n.x", "NonConstantExpression"), ("RETURN NOT 1", "InvalidArgumentType"),
         ("RETURN 1 AND true", "InvalidArgumentType"), ("RETURN 1 IN 2", "InvalidArgumentType"), ("MATCH (n) WHERE n RETURN n", "InvalidArgumentType"), ("MATCH (a)-[a]->(b) RETURN a", "VariableTypeConflict"), ("RETURN 9223372036854775808", "IntegerOverflow"),
-        ("WHERE true RETURN 1", "WHERE cannot be the first"), ("RETURN 1 x", "unexpected"), ("MATCH (a)-[r]->(b) RETURN labels(r)", "InvalidArgumentType"), ("MATCH (a) RETURN type(a)", "InvalidArgumentType"), ("MATCH (a)", "must end with RETURN"), ("", "empty query"),
+        ("WHERE true RETURN 1", "WHERE cannot be the first"), ("RETURN 1 )", "unexpected"), ("MATCH (a)-[r]->(b) RETURN labels(r)", "InvalidArgumentType"), ("MATCH (a) RETURN type(a)", "InvalidArgumentType"), ("MATCH (a)", "must end with RETURN"), ("", "empty query"),
         ("MATCH shortestPath((a)-->(b)) RETURN a", "shortestPath is outside"), ("RETURN range(1, 2000000)", "NumberOutOfRange"), ("RETURN [x IN [1] WHERE x > 0]", "list comprehension is outside"), ("CALL db.x()", "CALL is outside"),
     ],
 )
