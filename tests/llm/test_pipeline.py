@@ -21,7 +21,7 @@ def survivors_by_hand(rows):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate(LOWER) for x in t.split("\n")]
     often = {k for k, n in Counter(k for _, t in rows for k in set(keys(t)) if k).items() if n >= 10}
     rows = [(i, "\n".join(x for x, k in zip(t.split("\n"), keys(t), strict=True) if k not in often)) for i, t in rows]
-    kept = {i for i, _, _, k in classes_by_hand(rows) if k}
+    kept = {i for i, _, _, k in classes_by_hand(rows, 80) if k}
     rows = [(i, t) for i, t in rows if i in kept]
     return [(i, t) for i, t in rows if not any(x in t.lower() for x in ITEMS)]
 

@@ -126,7 +126,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def classes_by_hand(rows):
+def classes_by_hand(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     up = list(range(len(sets)))
 
@@ -138,7 +138,7 @@ def classes_by_hand(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 up[root(a)] = root(b)
     out = []
     for k, (i, s) in enumerate(sets):
