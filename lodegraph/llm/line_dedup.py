@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RUN_SCHEMA = "hi long, lo long, n_docs long"
+#: Shuffle partitions that make a bucket.  Entries are narrow, and a file costs more than its rows: a local folder starts
+#: processes for each, and such a child shares all pages of its executor until it runs.
+PARTITIONS_A_BUCKET = 4
 
 
 def line_key(line: bytes) -> bytes:
@@ -49,7 +52,8 @@ class LineRuns:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = root or C.fresh_path(spark, "line-runs")
         self.name = f"line_runs_{uuid.uuid4().hex}"
-        self.buckets = C.shuffle_partitions(spark)
+        parts = C.shuffle_partitions(spark)
+        self.buckets = min(parts, max(2 * spark.sparkContext.defaultParallelism, parts // PARTITIONS_A_BUCKET))
         self.levels: list[list[str]] = [[]]
         self.written = 0
 
@@ -59,8 +63,8 @@ class LineRuns:
     def _write(self, counts: DataFrame) -> str:
         run, self.written = f"{self.name}_{self.written:06d}", self.written + 1
         options = {"path": f"{self.root}/{run}", "compression": "zstd"}
-        with as_they_lie(self.spark):
-            counts.select("hi", "lo", "n_docs").write.options(**options).bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").saveAsTable(run, format="parquet")
+        with as_they_lie(self.spark, self.buckets):
+            counts.select("hi", "lo", "n_docs").write.options(**options).bucketBy(C.shuffle_partitions(self.spark), "hi", "lo").sortBy("hi", "lo").saveAsTable(run, format="parquet")
         return run
 
     def _drop(self, run: str) -> None:
@@ -97,7 +101,7 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """``(hi, lo)`` of the frequent keys, written down."""
-        with as_they_lie(self.spark):
+        with as_they_lie(self.spark, self.buckets):
             return C.settle(self.totals().filter(F.col("n_docs") >= self.min_docs).select("hi", "lo"), "line-frequent")
 
     def close(self) -> None:
@@ -115,15 +119,17 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def as_they_lie(spark: SparkSession):
-    """Let Spark look whether each bucket is one file, and so sorted as a whole."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def as_they_lie(spark: SparkSession, buckets: int | None = None):
+    """Let Spark look whether each bucket is one file, and so sorted as a whole, and exchange into as many partitions as there are ``buckets``."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} | ({"spark.sql.shuffle.partitions": str(buckets)} if buckets else {})
+    old = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def _split_hash(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -67,6 +67,26 @@ def test_runs_are_joined_and_merged_as_they_lie(spark):
     assert not Path(root.removeprefix("file://")).exists() and store.runs() == []
 
 
+def test_runs_have_fewer_files_than_there_are_partitions(spark):
+    """A run of 64 partitions lies in 16 buckets, one file each, and is still joined and merged as it lies."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        store = line_dedup.LineRuns(spark, min_docs=2, fanout=4)
+        for batch in range(2):
+            store.add(spark.createDataFrame([(h % 7, h) for h in range(batch, batch + 3000)], "hi long, lo long"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        for run in store.runs():
+            assert len(list(Path(f"{store.root}/{run}".removeprefix("file://")).glob("*.parquet"))) == 16
+        with line_dedup.as_they_lie(spark, store.buckets):
+            merged = store.totals()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in merged and " Sort " not in merged and merged.count("Bucketed: true") == 2
+        assert {tuple(r) for r in store.totals().collect()} == {(k % 7, k, 1 + (0 < k < 3000)) for k in range(3001)}
+        store.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_empty_tables(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     assert sharding.shard(empty(spark)).count() == 0
