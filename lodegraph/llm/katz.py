@@ -47,7 +47,8 @@ FIXED = 2.0**26
 BLOCKS = "shard int, kind int, block binary"
 #: Pairs of the model in one range, about, at most.
 RANGE_PAIRS = 8_000_000
-#: Tokens a task gathers before it passes on their counts.
+#: Tokens a task gathers before it passes on their counts; blocks, which need more memory for a token, are made of half as many
+#: rows of the model, or a quarter as many tokens of documents.
 GATHER = 2_000_000
 START, END = np.int64(xxhash.xxh3_64_intdigest(b"\x00start") - (1 << 63)), np.int64(xxhash.xxh3_64_intdigest(b"\x00end") - (1 << 63))
 
@@ -307,25 +308,31 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kinds, pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
 
     def flush(rk: list, ids: list, held: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in held])
+        lengths, m = np.array([len(t) for t in held]), len(held)
         w = np.concatenate(held)
+        held.clear()  # two tasks of an executor do this at once: what isn't needed any more goes
         starts = np.cumsum(lengths) - lengths
         h = np.concatenate([[START], w[:-1]])
         h[starts] = START
-        doc = np.repeat(np.arange(len(held)), lengths)
+        doc = np.repeat(np.arange(m, dtype=np.int32), lengths)
         (wk, wc, wp, wa), (pk, pd_) = head.value
         g = pair_hash(h, w)
+        del h
         by_pair = np.argsort(g, kind="stable")  # a document's tokens stay in order within a pair
-        in_sorted, hit_sorted = _find(pk, g[by_pair])
-        in_pairs, pair_hit = np.empty_like(in_sorted), np.empty_like(hit_sorted)
-        in_pairs[by_pair], pair_hit[by_pair] = in_sorted, hit_sorted
+        g = g[by_pair]
+        found, covered = _find(pk, g)
+        of_pairs = np.zeros(len(w))
+        of_pairs[by_pair[covered]] = pd_[found[covered]]
+        g, pair_doc = g[~covered], doc[by_pair[~covered]]
+        del by_pair, found, covered
         at, hit = _find(wk, w)
         count = np.where(hit, wc[at] if len(wc) else 0, 0)
         # as a token and, but for the end, as a history; the start symbol is a history once a document
         s_at, s_hit = _find(wk, np.array([START]))
         start_loga = float(wa[s_at[0]]) if s_hit[0] else 0.0
         value = np.where(hit, (wp[at] + np.where(w == END, 0.0, wa[at])) if len(wk) else 0.0, 0.0)
-        value += np.where(pair_hit, pd_[in_pairs] if len(pd_) else 0.0, 0.0)
+        value += of_pairs
+        del of_pairs, at
         base = np.where(hit, np.log10((count + 1) / (n + v + 1)), 0.0)
         sums = lambda x: np.add.reduceat(x, starts)
         rare = np.flatnonzero(~hit)
@@ -334,16 +341,15 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
         rd, rw = rd[order], rw[order]
         new = np.flatnonzero(np.concatenate([[True], (rw[1:] != rw[:-1]) | (rd[1:] != rd[:-1])])) if len(rd) else np.zeros(0, np.int64)
         k = np.diff(np.append(new, len(rd)))
-        keys = np.array(rk, np.int64)
-        m, r = len(held), len(new)
+        keys, r = np.array(rk, np.int64), len(new)
         none = lambda x, dtype: pa.concat_arrays([pa.array(x, dtype), pa.nulls(r, dtype)])
         sums_of = pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([keys, keys[rd[new]]])), pa.concat_arrays([pa.array(ids, id_arrow), pa.nulls(r, id_arrow)]), pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(rw[new], pa.int64())]), pa.array(np.concatenate([np.ones(m, np.int64), k])),
              none(lengths, pa.int64()), none(sums((count > 0).astype(np.int64)), pa.int64()), none(sums(base), pa.float64()), none(sums(value) + start_loga, pa.float64())],
             names=["rk", "doc_id", "w", "k", "n_tokens", "n_known", "base", "score"],
         )
-        rest = by_pair[~hit_sorted]
-        g, doc = g[rest], doc[rest]
+        doc = pair_doc
+        del w, hit, count, value, base, rare, rd, rw, order, k, pair_doc
         if len(g):  # signed order to unsigned: the negative half comes last
             turn = np.searchsorted(g, 0)
             g, doc = np.roll(g, -turn), np.roll(doc, -turn)
@@ -362,7 +368,7 @@ def _gathered(docs: DataFrame, model: Model, head: tuple, shards: int) -> DataFr
                 ids.append(own)
                 held.append(tokens(text))
                 size += len(held[-1])
-                if size >= GATHER:
+                if size >= GATHER // 4:
                     yield flush(rk, ids, held)
                     rk, ids, held, size = [], [], [], 0
         if held:
@@ -391,7 +397,7 @@ def _model_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
     for batch in batches:
         held.append((pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.uint64), batch.column(2).to_numpy()))
         n += batch.num_rows
-        if n >= GATHER:
+        if n >= GATHER // 2:
             yield flush(held)
             held, n = [], 0
     if held:

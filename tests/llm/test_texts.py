@@ -1,9 +1,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
+import types
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +259,23 @@ def test_katz_without_rows(spark):
     assert katz.score(empty(spark), katz.fit(empty(spark))).count() == 0
     r = katz.score(table(spark, ["a b"]), katz.fit(empty(spark))).collect()[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
+
+
+def test_a_task_of_katz_holds_little_for_a_token(spark, monkeypatch):
+    """Peak bytes while the blocks of documents are made, in a stretch of as many tokens as are gathered for counts."""
+    monkeypatch.setattr(katz, "GATHER", 400_000)
+    monkeypatch.setattr(katz.C, "in_arrow", lambda df, run, schema: run)
+    words = np.sort(katz.tokens(" ".join(f"w{i}" for i in range(500))))
+    ones = np.ones(len(words))
+    head = types.SimpleNamespace(value=((words, ones, -ones, -ones), [np.sort(katz.pair_hash(words[:-1], words[1:])), ones[1:]]))
+    run = katz._gathered(empty(spark), types.SimpleNamespace(n=10**6, v=10**4), head, 4)
+    texts = (" ".join(f"w{(k * 7919 + i * i) % 5003}" for i in range(4000)) for k in range(100))
+    batches = (pa.RecordBatch.from_pydict({"rk": [k], "doc_id": [k], "text": [t]}) for k, t in enumerate(texts))
+    tracemalloc.start()
+    try:
+        kinds = Counter(x for block in run(batches) for x in block.column("kind").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * katz.GATHER
+    assert kinds[2] > 1 and kinds[0] == 4 * kinds[2]
