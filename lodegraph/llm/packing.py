@@ -16,6 +16,7 @@ counts of the partitions before), and a piece's number gives its window and its
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,25 @@ CACHE_WORDS, GROUP_BYTES = 500_000, 1 << 18
 LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u021f\u0400-\u0481\u048a-\u04ce\u04d0-\u04f5"
 MARKS = re.escape("".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39))
 _PLAIN = re.compile(f"[{LETTERS}0-9{MARKS}]+").fullmatch
-_PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+").findall
+_ALL_PLAIN = re.compile(f"[{LETTERS}0-9{MARKS} ]+").fullmatch
+_PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+| ").findall
+#: The parts of a tokenizer's file that leave pieces as they are, but for lower case, and cut words into the pieces of :data:`_PIECES`.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+KNOWN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def _for_pieces(tokenizer):
+    """A tokenizer for lower-case pieces with a space between them: without the steps that change nothing there, if the file has just those."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps = json.loads(tokenizer.to_str())
+    if steps["normalizer"] != KNOWN_NORMALIZER or steps["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [KNOWN_SPLIT, KNOWN_BYTES]}:
+        return tokenizer
+    bare = Tokenizer(tokenizer.model)
+    at_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), at_bytes])
+    return bare
 
 
 def default_tokenizer() -> str:
@@ -62,10 +81,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = _for_pieces(self.tokenizer)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.codes: dict[bytes | str, int] = {}
+        self.codes: dict[bytes, int] = {}
         self.start, self.length, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.flat, self.used, self.n = np.zeros(1 << 14, np.uint32), 0, 0
 
@@ -89,45 +109,46 @@ class WordTokenizer:
         ends = np.cumsum(lengths)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + lengths, lengths)], lengths
 
-    def _encoded(self, words: list[str], single: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[bytes], single: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of ``words``; ``single``: each should be one piece, told apart by the pieces' endings."""
+        text = b" ".join(words).decode("utf-8", "replace")
         if single:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            text = text if self.bare is self.tokenizer else text.lower()
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
                 return ids, np.diff(ends, prepend=0)
-        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        each = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
 
     def _learn(self, words: dict[bytes, None]) -> None:
         """Encode and remember words that are not remembered yet."""
-        codes, plain, whole, pieces, sizes = self.codes, [], [], [], []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if _PLAIN(text):
-                own = _PIECES(text)
-                plain.append(word)
-                pieces += own
-                sizes.append(len(own))
-            else:
-                whole.append(word)
+        codes, whole, plain = self.codes, [], list(words)
+        text = b" ".join(plain).decode("utf-8", "replace")
+        if not _ALL_PLAIN(text):
+            alone = [bool(_PLAIN(x)) for x in text.split(" ")]
+            whole = [w for w, x in zip(plain, alone, strict=True) if not x]
+            text = " ".join([t for t, x in zip(text.split(" "), alone, strict=True) if x])
+            plain = [w for w, x in zip(plain, alone, strict=True) if x]
+        found = _PIECES(text)
+        pieces = " ".join([x for x in found if x != " "]).encode().split()  # a word that is one piece has the key of it
+        # the places of the spaces among the pieces bound the words
+        bounds = [k for k, x in enumerate(found) if x == " "]
+        sizes = np.diff(np.append(bounds, len(found)).astype(np.int64), prepend=-1) - 1
         fresh = [x for x in dict.fromkeys(pieces) if x not in codes]
-        for texts, keys, single in ((fresh, fresh, True), ([w.decode("utf-8", "replace") for w in whole], whole, False)):
-            if texts:
-                first = self._append(*self._encoded(texts, single))
-                codes.update(zip(keys, range(first, self.n), strict=True))
+        for new, single in ((fresh, True), (whole, False)):
+            if new:
+                first = self._append(*self._encoded(new, single))
+                codes.update(zip(new, range(first, self.n), strict=True))
         if plain:
             at = np.fromiter(map(codes.__getitem__, pieces), np.int64, len(pieces))
-            self.hits += np.bincount(at, minlength=len(self.hits))
-            count = np.array(sizes)
-            begin = np.cumsum(count) - count
-            several = count > 1
-            code = at[begin]
+            np.add.at(self.hits, at, 1)
+            several = sizes > 1
             if several.any():
-                ids, lengths = self._gather(at[np.repeat(several, count)])
-                lengths = np.add.reduceat(lengths, np.cumsum(count[several]) - count[several])
-                code[several] = np.arange(len(lengths)) + self._append(ids, lengths)
-            codes.update(zip(plain, code.tolist(), strict=True))
+                ids, lengths = self._gather(at[np.repeat(several, sizes)])
+                lengths = np.add.reduceat(lengths, np.cumsum(sizes[several]) - sizes[several])
+                first = self._append(ids, lengths)
+                codes.update(zip([plain[k] for k in np.flatnonzero(several).tolist()], range(first, self.n), strict=True))
 
     def _forget(self) -> None:
         """Keep the half of the words met most often, and halve what is known of how often."""
@@ -161,7 +182,7 @@ class WordTokenizer:
             new = [words[k] for k in miss]
             self._learn(dict.fromkeys(new))
             at[miss] = np.fromiter(map(self.codes.__getitem__, new), np.int64, len(new))
-        self.hits += np.bincount(at, minlength=len(self.hits))
+        np.add.at(self.hits, at, 1)
         ids, lengths = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(np.array(counts, np.int64))]
         sizes = np.diff(ends, prepend=0)

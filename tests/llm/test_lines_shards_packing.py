@@ -139,6 +139,26 @@ def test_forgetting_words_changes_no_ids(monkeypatch):
         assert len(w.codes) < 20 + 80
 
 
+def test_a_word_of_one_piece_is_remembered_once():
+    w = packing.WordTokenizer(packing.default_tokenizer())
+    text = "Alpha beta9 it's ÉTÉ alpha -- été"
+    assert w.encode(text).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(w.codes) == {x.encode() for x in ("alpha", "beta9", "beta", "9", "it's", "ÉtÉ", "--", "été")}
+    assert w.bare.normalizer is None
+
+
+def test_a_file_with_other_steps_is_used_whole(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(packing.default_tokenizer())
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    w = packing.WordTokenizer(str(tmp_path / "other.json"))
+    text = "été ÉÀÉ É é9 Ж ж! it's"
+    assert w.bare is w.tokenizer
+    assert w.encode(text).tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 5), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_plans_place_everything_once(histogram):
