@@ -23,11 +23,11 @@ def star_graph(spark: SparkSession, folder: str) -> Graph:
         g = g.add_nodes(label, df, key)
     g = g.add_nodes("User", events.select("user_id").distinct(), "user_id")
     g = g.add_nodes("Event", events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "event_id")
-    g = g.add_rels("IN_REGION", nation, ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
-    g = g.add_rels("FROM_NATION", customer, ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
-    g = g.add_rels("FROM_NATION", supplier, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
-    g = g.add_rels("PLACED", orders, ("Customer", "o_custkey"), ("Order", "o_orderkey"), {"date": F.date_format("o_orderdate", "yyyy-MM-dd")})
-    g = g.add_rels("EMITTED", events, ("User", "user_id"), ("Event", "event_id"))
+    g = g.add_rels("IN_REGION", nation, ("Nation", "n_nationkey"), ("Region", "n_regionkey"), single=("src",))
+    g = g.add_rels("FROM_NATION", customer, ("Customer", "c_custkey"), ("Nation", "c_nationkey"), single=("src",))
+    g = g.add_rels("FROM_NATION", supplier, ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), single=("src",))
+    g = g.add_rels("PLACED", orders, ("Customer", "o_custkey"), ("Order", "o_orderkey"), {"date": F.date_format("o_orderdate", "yyyy-MM-dd")}, single=("dst",))
+    g = g.add_rels("EMITTED", events, ("User", "user_id"), ("Event", "event_id"), single=("dst",))
     quantity = {"qty": F.sum(F.col("l_quantity").cast("double"))}
     g = g.add_rels("CONTAINS", lineitem, ("Order", "l_orderkey"), ("Part", "l_partkey"), quantity, unique=False)
     return g.add_rels("SUPPLIED_BY", lineitem, ("Order", "l_orderkey"), ("Supplier", "l_suppkey"), unique=False)
@@ -48,7 +48,7 @@ def text_graph(spark: SparkSession, folder: str) -> Graph:
     g = g.add_nodes("Turn", turns, "key", ["conv_id", "turn", "role", "text"])
     there = read("conversations").select(key)
     steps = turns.select("key", (F.col("key") + 1).alias("next")).join(there.select(F.col("key").alias("next")), "next", "left_semi")
-    return g.add_rels("NEXT", steps, ("Turn", "key"), ("Turn", "next"))
+    return g.add_rels("NEXT", steps, ("Turn", "key"), ("Turn", "next"), single=("src", "dst"))
 
 
 def ring_graph(spark: SparkSession, nodes: int, degree: int) -> Graph:

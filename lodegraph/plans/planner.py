@@ -21,6 +21,7 @@ from ..operators.values import BOOL, FLOAT, INT, Type, Value, list_of
 from ..functions import temporal
 from ..sources.catalog import Graph, merged_props
 from ..sources.files import scratch_path
+from .pairs import paired
 
 
 def walk(node: object):
@@ -80,12 +81,18 @@ class State:
     scope: Scope = field(default_factory=Scope)
     order: list[str] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
+    #: Nodes known to be another in every row.
+    once: frozenset[str] = frozenset()
 
 
 class Planner:
     def __init__(self, graph: Graph, params: dict | None = None, extended: bool = False):
         self.graph, self.params, self.extended, self.made = graph, params or {}, extended, 0
         self.used: dict[str, set[str] | None] = {}
+        #: What the rows of the patterns at work must meet in the end.
+        self.ahead: list[A.Expr] = []
+        #: Those of them that a join has seen to: a filter besides would change the keys that its rows are dealt by.
+        self.settled: list[A.Expr] = []
 
     def fresh(self) -> str:
         self.made += 1
@@ -117,6 +124,8 @@ class Planner:
                     raise QuerySyntaxError("RETURN must be the last clause")
                 state = self.project(state, clause)
                 return state.df, state.steps
+            after = q.clauses[i + 1] if i + 1 < len(q.clauses) else None
+            self.ahead = conjuncts(after.expr) if isinstance(clause, A.Match) and not clause.optional and isinstance(after, A.Where) else []
             state = self.clause(state, clause)
         raise QuerySyntaxError("a query that reads must end with RETURN")
 
@@ -205,12 +214,44 @@ class Planner:
     def scan(self, state: State, node: A.NodePattern, name: str, allowed: set[tuple[str, ...]] | None = None) -> State:
         tables = self.tables_for(node, allowed)
         rows, entity = self.node_frame(name, tables, self.props_of(name, tables, node.props))
-        df = rows if state.df is None else state.df.crossJoin(rows)
         scope = state.scope.copy()
         scope.entities[name] = entity
         kind = f"NodeScan({name}{''.join(':' + x for x in node.labels)})"
-        step = kind if state.df is None else f"CartesianProduct + {kind}"
-        return self.with_props(State(df, scope, [*state.order, entity.column("id")], [*state.steps, step]), name, node.props)
+        if state.df is None:
+            df, step, once = rows, kind, frozenset([name])
+        else:
+            df, step, once = state.df.crossJoin(rows), f"CartesianProduct + {kind}", frozenset()
+        return self.with_props(State(df, scope, [*state.order, entity.column("id")], [*state.steps, step], once), name, node.props)
+
+    def multiplied(self, left: State, right: State, *keys: tuple[Column, Column]) -> DataFrame | None:
+        """The join of rows that may repeat on either side, dealt out by its pairs; None where they are few."""
+        ids = [[c for c in self.identity(x) if x.df.schema[c].dataType.typeName() in ("long", "string")] for x in (left, right)]
+        also = self.equalities(left, right)
+        df = paired(left.df, right.df, [*keys, *also.values()], (self.met(left), self.met(right)), (ids[0], ids[1]), self.fresh())
+        if df is not None:
+            self.settled += also
+        return df
+
+    def met(self, state: State) -> DataFrame:
+        """The rows that meet those conditions ahead which read nothing but what is bound."""
+        df = state.df
+        for part in self.ahead:
+            names = {e.name for e in walk(part) if isinstance(e, A.Var)}
+            if names and names <= {*state.scope.entities, *state.scope.values} and not any(isinstance(e, A.Exists) for e in walk(part)):
+                df = df.filter(V.truth(self.compiler(state)(part)))
+        return df
+
+    def equalities(self, left: State, right: State) -> dict[A.Expr, tuple[Column, Column]]:
+        """The conditions ahead that make a property of one side equal to one of the other."""
+        out = {}
+        for part in self.ahead:
+            if isinstance(part, A.Binary) and part.op == "=" and all(isinstance(x, A.Prop) and isinstance(x.base, A.Var) for x in (part.left, part.right)):
+                for a, b in ((part.left, part.right), (part.right, part.left)):
+                    if a.base.name in left.scope.entities and b.base.name in right.scope.entities:
+                        x, y = self.compiler(left)(a), self.compiler(right)(b)
+                        if x.type.name == y.type.name and x.type.name in ("int", "string"):
+                            out[part] = x.col, y.col
+        return out
 
     def constrain(self, state: State, node: A.NodePattern, name: str) -> State:
         """Labels and properties on a variable that is bound."""
@@ -219,7 +260,7 @@ class Planner:
             test = F.lit(True)
             for x in node.labels:
                 test = test & F.array_contains(labels, x)
-            state = State(state.df.filter(test), state.scope, state.order, [*state.steps, f"Filter({name}{''.join(':' + x for x in node.labels)})"])
+            state = State(state.df.filter(test), state.scope, state.order, [*state.steps, f"Filter({name}{''.join(':' + x for x in node.labels)})"], state.once)
         return self.with_props(state, name, node.props)
 
     def with_props(self, state: State, name: str, props: tuple) -> State:
@@ -256,22 +297,34 @@ class Planner:
         if direction in ("in", "both"):
             parts.append(edges(inward, "dst", "src", direction == "in"))
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        df = state.df.join(rows, ref(at.column("id")) == ref(near))
         scope = state.scope.copy()
         scope.entities[name] = entity
         step = f"Expand({here}{'<' * (direction == 'in')}-[{name}{':' + '|'.join(rel.types) if rel.types else ''}]-{'>' * (direction == 'out')}{there})"
         order = [*state.order, entity.column("type"), far]
         ends = {t.target for t in outward} | {t.source for t in inward}
-        state = State(df, scope, order, [*state.steps, step])
-        state = self.arrive(state, far, there, node, ends)
+        single = all("src" in t.single for t in outward) and all("dst" in t.single for t in inward)
+        once = frozenset()
+        if len(outward) + len(inward) == 1:
+            back = all("dst" in t.single for t in outward) and all("src" in t.single for t in inward)
+            once = (state.once if single else once) | ({there} if back and here in state.once else once)
+        dealt = None
+        if to is None and not single and here not in state.once:
+            right = self.arrive(State(rows, Scope({name: entity}), [], []), far, there, node, ends, False)
+            dealt = self.multiplied(state, right, (ref(at.column("id")), ref(near)))
+        if dealt is None:
+            df = state.df.join(rows, ref(at.column("id")) == ref(near))
+            state = self.arrive(State(df, scope, order, [*state.steps, step], once), far, there, node, ends)
+        else:
+            scope.entities[there] = right.scope.entities[there]
+            state = self.with_props(State(dealt, scope, order, [*state.steps, step], once), there, node.props)
         state = self.with_props(state, name, rel.props)
         return self.unrepeated(state, name, entity, chain)
 
-    def arrive(self, state: State, far: str, there: str, node: A.NodePattern, ends: set[tuple[str, ...]]) -> State:
-        """Bind the far end of an expansion: to a variable that is bound, or to its own tables."""
+    def arrive(self, state: State, far: str, there: str, node: A.NodePattern, ends: set[tuple[str, ...]], whole: bool = True) -> State:
+        """Bind the far end of an expansion: to a variable that is bound, or to its own tables.  ``whole``: with the pattern's properties."""
         if there in state.scope.entities:
             df = state.df.filter(ref(far) == ref(state.scope.entities[there].column("id")))
-            return self.constrain(State(df, state.scope, state.order, state.steps), node, there)
+            return self.constrain(State(df, state.scope, state.order, state.steps, state.once), node, there)
         tables = self.tables_for(node, ends)
         props = self.props_of(there, tables, node.props)
         scope = state.scope.copy()
@@ -283,7 +336,7 @@ class Planner:
             rows, entity = self.node_frame(there, tables, props)
             df = state.df.join(rows, ref(far) == ref(entity.column("id")))
         scope.entities[there] = entity
-        return self.with_props(State(df, scope, state.order, state.steps), there, node.props)
+        return self.with_props(State(df, scope, state.order, state.steps, state.once), there, node.props if whole else ())
 
     def unrepeated(self, state: State, name: str, entity: Entity, chain: list) -> State:
         """A pattern takes a relationship once; those of other types can't be the same."""
@@ -296,7 +349,7 @@ class Planner:
                     same = same & (ref(o.column(c)) == ref(entity.column(c)))
                 df = df.filter(~same)
         chain.append((name, set(entity.types)))
-        return State(df, state.scope, state.order, state.steps)
+        return State(df, state.scope, state.order, state.steps, state.once)
 
     def bound_rel(self, state: State, rel: A.RelPattern, here: str, there: str, node: A.NodePattern, backward: bool) -> State:
         """The relationship is known: its ends decide, no table is read for it."""
@@ -421,8 +474,10 @@ class Planner:
     def inner(self, state: State, patterns: tuple, where: A.Expr | None, at: str | None, keys: list[str]) -> State:
         """The patterns' rows: by themselves, where they hang on one node, or from the distinct bindings of the rows before."""
         out = State() if at else State(state.df.dropDuplicates(keys) if keys else state.df.limit(1), state.scope, state.order, [])
+        self.ahead = [] if where is None else conjuncts(where)
         for p in patterns:
             out = self.pattern(out, p)
+        self.ahead = []
         return out if where is None else self.where(out, where)
 
     def identity(self, state: State) -> list[str]:
@@ -444,7 +499,8 @@ class Planner:
 
     def where(self, state: State, expr: A.Expr) -> State:
         for part in conjuncts(expr):
-            state = self.where_one(state, part)
+            if not any(part is x for x in self.settled):
+                state = self.where_one(state, part)
         return state
 
     def where_one(self, state: State, expr: A.Expr) -> State:
@@ -455,7 +511,7 @@ class Planner:
         v = self.compiler(state)(expr)
         if v.type.name in ("node", "rel"):
             raise QuerySyntaxError("InvalidArgumentType")
-        return State(state.df.filter(V.truth(v)), state.scope, state.order, [*state.steps, "Filter"])
+        return State(state.df.filter(V.truth(v)), state.scope, state.order, [*state.steps, "Filter"], state.once)
 
     def exists(self, state: State, e: A.Exists, negated: bool) -> State:
         self.check_roles(state, e.patterns)

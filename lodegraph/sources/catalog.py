@@ -44,12 +44,16 @@ class NodeTable:
 
 @dataclass(frozen=True)
 class RelTable:
-    """``df`` has ``src`` and ``dst`` (long) and the property columns."""
+    """``df`` has ``src`` and ``dst`` (long) and the property columns.
+
+    ``single``: the ends at which a node has one relationship at most, where that is known.
+    """
 
     type: str
     source: tuple[str, ...]
     target: tuple[str, ...]
     df: DataFrame
+    single: tuple[str, ...] = ()
 
     def props(self) -> dict[str, Type]:
         return {f.name: V.from_spark(f.dataType) for f in self.df.schema.fields if f.name not in ("src", "dst")}
@@ -104,11 +108,11 @@ class Graph:
                 return i << KEY_BITS
         raise NotFound(f"no nodes are labelled {label}")
 
-    def add_rels(self, kind: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], props: dict[str, Column] | None = None, unique: bool = True) -> Graph:
+    def add_rels(self, kind: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], props: dict[str, Column] | None = None, unique: bool = True, single: tuple[str, ...] = ()) -> Graph:
         """Relationships from the key columns of ``df``; ``source`` and ``target`` are ``(label, column)``.
 
         ``unique``: the pairs are distinct already.  Otherwise equal pairs become one relationship, and
-        ``props`` are aggregates over them.  Rows with a null key have no relationship.
+        ``props`` are aggregates over them.  Rows with a null key have no relationship.  ``single``: as :class:`RelTable` has it.
         """
         ends = [(F.col(c).cast("bigint") + F.lit(self.base(label))).alias(name) for name, (label, c) in (("src", source), ("dst", target))]
         named = [c.alias(k) for k, c in (props or {}).items()]
@@ -120,7 +124,7 @@ class Graph:
         else:
             rows = present.select(*ends).distinct()
         of = lambda label: next(t.labels for t in self.nodes if label in t.labels)
-        return Graph(self.spark, self.nodes, [*self.rels, RelTable(kind, of(source[0]), of(target[0]), rows)])
+        return Graph(self.spark, self.nodes, [*self.rels, RelTable(kind, of(source[0]), of(target[0]), rows, single)])
 
     # -- reading
 
