@@ -220,7 +220,9 @@ class Planner:
         if state.df is None:
             df, step, once = rows, kind, frozenset([name])
         else:
-            df, step, once = state.df.crossJoin(rows), f"CartesianProduct + {kind}", frozenset()
+            far = State(rows, Scope({name: entity}))
+            dealt = self.multiplied(state, far)
+            df, step, once = state.df.crossJoin(rows) if dealt is None else dealt, f"CartesianProduct + {kind}", frozenset()
         return self.with_props(State(df, scope, [*state.order, entity.column("id")], [*state.steps, step], once), name, node.props)
 
     def multiplied(self, left: State, right: State, *keys: tuple[Column, Column]) -> DataFrame | None:

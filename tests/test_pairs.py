@@ -13,6 +13,7 @@ from .oracle import connect, same
 SF01 = "/root/testdata/sf0.01"
 
 SHARED = "MATCH (a:A)-[:IN]->(h:Hub), (b:B)-[:IN]->(h) WHERE a.v > 0 RETURN a.v AS a, b.v AS b"
+THETA = "MATCH (a:A), (b:B) WHERE a.k = b.k AND a.v <> b.v RETURN a.v AS a, b.v AS b"
 
 
 def hubs(spark, rows, keys=2):
@@ -34,14 +35,14 @@ def small(monkeypatch):
     return made
 
 
-@pytest.mark.parametrize("text", [SHARED])
+@pytest.mark.parametrize("text", [SHARED, THETA])
 def test_one_key_is_shared_by_many_tasks(spark, text):
     df = Session(hubs(spark, 6000)).query(text)
     tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert max(tasks) < sum(tasks) / 2
 
 
-@pytest.mark.parametrize("name", ["shared_node"])
+@pytest.mark.parametrize("name", ["shared_node", "theta_join"])
 def test_dealt_rows_are_those_of_the_sql(spark, small, name):
     same(queries.QUERIES[name](spark, SF01), connect(SF01), queries.ORACLE_SQL[name])
     assert any(x is not None for x in small)
@@ -51,10 +52,14 @@ def test_dealt_rows_are_those_of_the_sql(spark, small, name):
     "text",
     [
         SHARED,
+        THETA,
+        "MATCH (a:A), (b:B) WHERE a.v < b.v RETURN a.v AS a, b.v AS b",
         "MATCH (a:A), (b:B {v: 3}) WHERE b.k = a.k RETURN a.v AS a, b.v AS b",
         "MATCH (a:A)-[:IN]->(h:Hub)<-[:IN]-(b {v: 1}) RETURN a.v AS a, b.v AS b, labels(b)[0] AS l",
         "MATCH (a:A)-[:IN]->(h)<-[r:IN]-(b:A) WHERE a.k = b.k AND b.v > 2 RETURN a.v AS a, b.v AS b, type(r) AS t",
         "MATCH (a)-[:IN]-(h)-[:IN]-(b) RETURN a.v AS a, b.v AS b, labels(h)[0] AS l",
+        "UNWIND [1, 1, 2] AS x MATCH (a:A) RETURN x, a.v AS a",
+        "UNWIND [1, 1, 2] AS x MATCH (a:A {v: x}) MATCH (b:B) WHERE b.k = a.k RETURN x, a.v AS a, b.v AS b",
         "MATCH (a:A)-[:IN]->(h:Hub) OPTIONAL MATCH (h)<-[:IN]-(b:B)-[:IN]->(h)<-[:IN]-(c:A) WHERE b.v = c.v RETURN a.v AS a, c.v AS c",
         "MATCH (a:A)-[:IN]->(h:Hub) WHERE EXISTS { MATCH (h)<-[:IN]-(b:B) WHERE b.v < a.v } RETURN a.v AS a",
     ],
