@@ -12,10 +12,16 @@ from .sources.catalog import Graph
 from .sources.store import Store
 
 SCHEMA = "kind string, detail string, n long"
+#: Rows that a task of the checks sorts or groups, about.
+ROWS = 1 << 20
 
 
 def check_graph(g: Graph) -> DataFrame:
-    """``(kind, detail, n)`` for every sort of damage found; no rows for a sound graph."""
+    """``(kind, detail, n)`` for every sort of damage found; no rows for a sound graph.
+
+    Rows are counted first, and dealt out by their ids to as many tasks as they need.  Relationships that are made of equal
+    pairs can't stand there twice; their ends are looked up before that, so that only orphans are made one.
+    """
     found: list[DataFrame] = []
 
     def report(kind: str, detail: str, bad: DataFrame) -> None:
@@ -31,14 +37,28 @@ def check_graph(g: Graph) -> DataFrame:
         ids = own if ids is None else ids.unionByName(own, allowMissingColumns=True)
     if ids is None:
         ids = g.spark.createDataFrame([], "id long")
-    report("DuplicateNodeId", "", ids.groupBy("id").count().filter("count > 1"))
+    ends = [t.df.select("src", "dst") if t.pairs is None else t.pairs for t in g.rels]
+    counts = [df.agg(F.lit(i).alias("i"), F.count(F.lit(1)).alias("n")) for i, df in enumerate((ids, *ends))]
+    first, *others = [r["n"] for r in sorted(reduce(DataFrame.unionAll, counts).collect())]
+    tasks = -(-(first + max(others, default=0)) // ROWS)
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(tasks, *keys) if tasks > 1 else df
+
+    def known(end: str) -> DataFrame:
+        own = dealt(ids.select("id"), "id").withColumnRenamed("id", end)
+        return own.hint("merge") if tasks > 1 else own
+
+    report("DuplicateNodeId", "", dealt(ids.select("id"), "id").groupBy("id").count().filter("count > 1"))
     if "_ext" in ids.columns:
-        report("DuplicateExternalId", "", ids.filter("_ext is not null").groupBy("_ext").count().filter("count > 1"))
-    for t in g.rels:
-        report("NullEdgeEnd", t.type, t.df.filter("src is null or dst is null"))
-        report("DuplicateEdge", t.type, t.df.groupBy("src", "dst").count().filter("count > 1"))
+        report("DuplicateExternalId", "", dealt(ids.select("_ext").filter("_ext is not null"), "_ext").groupBy("_ext").count().filter("count > 1"))
+    for t, pairs in zip(g.rels, ends, strict=True):
+        report("NullEdgeEnd", t.type, pairs.filter("src is null or dst is null"))
+        if t.pairs is None:
+            report("DuplicateEdge", t.type, dealt(pairs, "src", "dst").groupBy("src", "dst").count().filter("count > 1"))
         for end in ("src", "dst"):
-            report("OrphanEdge", f"{t.type}.{end}", t.df.filter(f"{end} is not null").join(ids.select(F.col("id").alias(end)), end, "left_anti"))
+            orphans = dealt(pairs.filter(f"{end} is not null"), end).join(known(end), end, "left_anti")
+            report("OrphanEdge", f"{t.type}.{end}", orphans if t.pairs is None else orphans.distinct())
     return reduce(DataFrame.unionAll, found)
 
 

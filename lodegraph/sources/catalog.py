@@ -46,7 +46,8 @@ class NodeTable:
 class RelTable:
     """``df`` has ``src`` and ``dst`` (long) and the property columns.
 
-    ``single``: the ends at which a node has one relationship at most, where that is known.
+    ``single``: the ends at which a node has one relationship at most, where that is known.  ``pairs``: where ``df`` has one row
+    for all that have the same ends, the ends of these.
     """
 
     type: str
@@ -54,6 +55,7 @@ class RelTable:
     target: tuple[str, ...]
     df: DataFrame
     single: tuple[str, ...] = ()
+    pairs: DataFrame | None = None
 
     def props(self) -> dict[str, Type]:
         return {f.name: V.from_spark(f.dataType) for f in self.df.schema.fields if f.name not in ("src", "dst")}
@@ -124,7 +126,7 @@ class Graph:
         else:
             rows = present.select(*ends).distinct()
         of = lambda label: next(t.labels for t in self.nodes if label in t.labels)
-        return Graph(self.spark, self.nodes, [*self.rels, RelTable(kind, of(source[0]), of(target[0]), rows, single)])
+        return Graph(self.spark, self.nodes, [*self.rels, RelTable(kind, of(source[0]), of(target[0]), rows, single, None if unique else present.select(*ends))])
 
     # -- reading
 
